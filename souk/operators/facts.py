@@ -12,14 +12,12 @@ from souk.operators.staging import Tables
 from souk.params import Params
 
 
-def primary_category(t: Tables) -> DataFrame:
+def primary_category(items: DataFrame, products: DataFrame) -> DataFrame:
     """Category of the first line of each order that has one, looked up per column."""
-    products = t["stg_products"].select("product_id", "category_id", "category")
     first = F.struct("line_no", "product_id")
     return (
-        t["stg_order_items"]
-        .select("order_id", "line_no", "product_id")
-        .join(products, "product_id")
+        items.select("order_id", "line_no", "product_id")
+        .join(products.select("product_id", "category_id", "category"), "product_id")
         .groupBy("order_id")
         .agg(
             F.min_by("category_id", F.when(F.col("category_id").isNotNull(), first)).alias("category_id"),
@@ -32,12 +30,16 @@ def fct_orders(t: Tables, p: Params, newer_than: date | None = None) -> DataFram
     """Order header fact. ``newer_than`` keeps only orders after that date.
 
     A missing payment counts as an amount mismatch. The joins on order_id come first so
-    that they share one partitioning of the orders.
+    that they share one partitioning of the orders. With a date given, payments and lines
+    are first cut down to the orders concerned.
     """
-    orders = t["int_orders_clean"]
+    orders, payments, items = t["int_orders_clean"], t["stg_payments"], t["stg_order_items"]
     if newer_than is not None:
         orders = orders.where(F.col("order_date") > F.lit(newer_than))
-    payments = t["stg_payments"].select(
+        wanted = orders.select("order_id")
+        payments = payments.join(wanted, "order_id", "left_semi")
+        items = items.join(wanted, "order_id", "left_semi")
+    payments = payments.select(
         "order_id",
         F.col("status").alias("payment_status"),
         F.col("amount").alias("payment_amount"),
@@ -52,7 +54,7 @@ def fct_orders(t: Tables, p: Params, newer_than: date | None = None) -> DataFram
     gap = F.abs(F.coalesce("payment_amount", F.lit(0)) - F.col("total"))
     return (
         orders.join(payments, "order_id", "left")
-        .join(primary_category(t), "order_id", "left")
+        .join(primary_category(items, t["stg_products"]), "order_id", "left")
         .join(customers, "customer_id", "left")
         .join(calendar, "order_date", "left")
         .select(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from souk.functions.columns import month_of
 from souk.operators import dimensions, facts, intermediate, marts, staging
@@ -66,6 +68,10 @@ CATALOG: dict[str, Model] = {
 }
 
 
+class UpstreamMissing(Exception):
+    """A model needs a table that was withheld."""
+
+
 class Warehouse(Mapping):
     """Tables by name. A model is built when first asked for and written once.
 
@@ -87,14 +93,28 @@ class Warehouse(Mapping):
         self._raw = raw
         self._extra = dict(extra or {})
         self._tables: dict[str, DataFrame] = {}
+        self.rows: dict[str, int] = {}
+        self._withheld: set[str] = set()
+        self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
+
+    def withhold(self, name: str) -> None:
+        """Stop serving a table, because it failed or failed its checks."""
+        self._withheld.add(name)
+
+    def is_withheld(self, *names: str) -> bool:
+        return any(name in self._withheld for name in names)
 
     def build(self, name: str) -> DataFrame:
         """The model's own plan over its stored inputs, not stored itself."""
         return CATALOG[name].build(self, self.params)
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self._withheld:
+            raise UpstreamMissing(f"{name} is not available")
         if name not in self._tables:
-            self._tables[name] = self._resolve(name)
+            with self._locks[name]:
+                if name not in self._tables:
+                    self._tables[name] = self._resolve(name)
         return self._tables[name]
 
     def _resolve(self, name: str) -> DataFrame:
@@ -111,7 +131,10 @@ class Warehouse(Mapping):
         if model.month_from:
             df = df.withColumn("order_month", month_of(model.month_from))
         part = "order_month" if model.month_from else None
-        return write_table(df, self.root, model.layer, name, part)
+        counted = Observation()
+        table = write_table(df, self.root, model.layer, name, part, counted)
+        self.rows[name] = counted.get["n"]
+        return table
 
     def __iter__(self) -> Iterator[str]:
         return iter(CATALOG)

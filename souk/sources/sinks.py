@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def table_path(root: str, layer: str, name: str) -> str:
     return f"{root}/{layer}/{name}"
 
 
-def write_table(df: DataFrame, root: str, layer: str, name: str, partition_by: str | None = None) -> DataFrame:
+def write_table(
+    df: DataFrame,
+    root: str,
+    layer: str,
+    name: str,
+    partition_by: str | None = None,
+    rows: Observation | None = None,
+) -> DataFrame:
     """Replace a layer table and return a frame that reads it.
 
     A partitioned table is rebalanced on its partition column first: adaptive execution
     then merges small months into one file each and splits a hot month over many tasks.
+    ``rows`` receives the number of rows as ``n`` on the way, which saves a count.
     """
     path = table_path(root, layer, name)
+    out = df.observe(rows, F.count(F.lit(1)).alias("n")) if rows is not None else df
     if partition_by:
-        df = df.hint("rebalance", partition_by)
-    writer = df.write.mode("overwrite")
+        out = out.hint("rebalance", partition_by)
+    writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
