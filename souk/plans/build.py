@@ -46,13 +46,18 @@ class Run:
         )
 
 
+def _layer(layer: str, but: str = "") -> list[str]:
+    return [n for n, m in CATALOG.items() if m.layer == layer and n != but]
+
+
 # Models of one wave do not read each other. The checks of a wave run before the next one.
+# The core layer starts with the facts, which take longest.
 WAVES: list[list[str]] = [
-    [n for n, m in CATALOG.items() if m.layer == "staging"],
+    _layer("staging"),
     ["int_orders_clean"],
-    ["int_returns_classified", *[n for n, m in CATALOG.items() if m.layer == "core" and n != "fct_returns"]],
+    ["int_returns_classified", *sorted(_layer("core", but="fct_returns"), key=lambda n: n.startswith("dim_"))],
     ["fct_returns"],
-    [n for n, m in CATALOG.items() if m.layer == "analytics"],
+    _layer("analytics"),
 ]
 
 

@@ -67,12 +67,15 @@ class FixtureSource:
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
+        self._inputs: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
         return getattr(self, f"_{name}")().select(*RAW_COLUMNS[name].split())
 
     def _read(self, name: str) -> DataFrame:
-        return read_parquet(self._spark, self._folder, name)
+        if name not in self._inputs:
+            self._inputs[name] = read_parquet(self._spark, self._folder, name)
+        return self._inputs[name]
 
     @cached_property
     def base(self) -> DataFrame:
