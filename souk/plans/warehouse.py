@@ -111,6 +111,9 @@ class Warehouse(Mapping):
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._withheld:
             raise UpstreamMissing(f"{name} is not available")
+        if name in self._extra or (name in CATALOG and CATALOG[name].kept == "view"):
+            # Read anew each time, so that rows appended meanwhile are seen.
+            return self._resolve(name)
         if name not in self._tables:
             with self._locks[name]:
                 if name not in self._tables:
