@@ -504,7 +504,7 @@ select max(paid_at) as newest, date_diff('second', max(paid_at), timestamp '2001
 from stg_payments"""
 _built = "\nunion all ".join(
     f"select 'model' as resource_type, '{m.name}' as node_name, 'success' as status, "
-    + (f"(select count(*) from {m.name})" if m.kept == "table" else "0")
+    + (f"(select count(*) from {m.name})" if m.stored else "0")
     + " as rows_affected"
     for m in CATALOG.values()
 )

@@ -10,8 +10,9 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from souk.functions.columns import month_of
 from souk.operators.facts import fct_orders
@@ -32,34 +33,64 @@ def read_target(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> DataFrame:
-    """Add ``rows`` to the month-partitioned table at ``path``, replacing rows of the same key."""
-    target = read_target(spark, path)
+def _reopen(spark: SparkSession, path: str, old: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Read the table with its known columns and any new ones, without scanning file footers."""
+    fields = list(old.schema.fields) if old is not None else []
+    fields += [f for f in rows.schema.fields if f.name not in {o.name for o in fields}]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def upsert(
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    key: str,
+    target: DataFrame | None = None,
+    counted: Observation | None = None,
+) -> DataFrame:
+    """Add ``rows`` to the month-partitioned table at ``path``, replacing rows of the same key.
+
+    ``target`` is the table as read before, if the caller has it. ``counted`` receives the
+    number of rows as ``n``.
+    """
+    if counted is not None:
+        rows = rows.observe(counted, F.count(F.lit(1)).alias("n"))
+    target = target if target is not None else read_target(spark, path)
     if target is None:
-        rows.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
-        return read_target(spark, path)
+        _append(rows, path)
+        return _reopen(spark, path, None, rows)
     rows = settle(rows, "delta")
     keys = rows.select(key).distinct()
     # At most one row per calendar month.
     clashing = [r[0] for r in target.join(keys, key, "left_semi").select(MONTH).distinct().collect()]
     if not clashing:
-        rows.hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(path)
-        return read_target(spark, path)
+        _append(rows, path)
+        return _reopen(spark, path, target, rows)
     touched = sorted({*clashing, *(r[0] for r in rows.select(MONTH).distinct().collect())})
     kept = target.where(F.col(MONTH).isin(touched)).join(keys, key, "left_anti")
-    # Settled first: the write below replaces files this plan reads. A clashing month whose
-    # rows all moved elsewhere has nothing to write, so it is emptied by name.
+    # Settled first: the write below replaces files this plan reads.
     merged = settle(kept.unionByName(rows, allowMissingColumns=True), "merged")
-    merged.hint("rebalance", MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        MONTH
-    ).parquet(path)
-    left = {r[0] for r in merged.select(MONTH).distinct().collect()}
-    for month in set(touched) - left:
+    (
+        merged.hint("rebalance", MONTH)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(MONTH)
+        .parquet(path)
+    )
+    # A clashing month whose rows all moved elsewhere has nothing to write, so it is emptied by name.
+    written = {r[0] for r in merged.select(MONTH).distinct().collect()}
+    for month in set(touched) - written:
         target.where(F.lit(False)).drop(MONTH).write.mode("overwrite").parquet(f"{path}/{MONTH}={month}")
-    return read_target(spark, path)
+    return _reopen(spark, path, target, rows)
 
 
-def load_orders(t: Tables, p: Params, spark: SparkSession, path: str) -> DataFrame:
+def load_orders(
+    t: Tables, p: Params, spark: SparkSession, path: str, counted: Observation | None = None
+) -> DataFrame:
     """One run of the order fact: everything at first, afterwards only newer orders.
 
     The newest loaded date is read first, so the filter reaches the scan as a constant.
@@ -73,4 +104,4 @@ def load_orders(t: Tables, p: Params, spark: SparkSession, path: str) -> DataFra
     if newest is not None:
         newest -= timedelta(days=p.lookback_days)
     rows = fct_orders(t, p, newer_than=newest).withColumn(MONTH, month_of("order_date"))
-    return upsert(spark, path, rows, "order_id")
+    return upsert(spark, path, rows, "order_id", target, counted)

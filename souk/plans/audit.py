@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.sources.sinks import append_rows
@@ -22,7 +23,12 @@ class AuditLog:
         self.spark, self.path = spark, path
 
     def ensure(self) -> AuditLog:
-        append_rows(self.spark.createDataFrame([], AUDIT_SCHEMA), self.path)
+        try:
+            self.read()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            append_rows(self.spark.createDataFrame([], AUDIT_SCHEMA), self.path)
         return self
 
     def append(self, rows: DataFrame | Iterable[tuple]) -> None:

@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 
 from souk.functions.columns import month_of
 from souk.operators import dimensions, facts, intermediate, marts, staging
+from souk.operators.upsert import load_orders
 from souk.params import Params
 from souk.session import workspace
-from souk.sources.sinks import register_view, write_table
+from souk.sources.sinks import register_view, table_path, write_table
 
 
 @dataclass(frozen=True)
 class Model:
     """A named table: its layer, its builder and how it is kept.
 
-    ``month_from`` names a date column whose month becomes the partition ``order_month``.
+    ``kept`` is table, incremental, inline or view. ``month_from`` names a date column whose
+    month becomes the partition ``order_month``.
     """
 
     name: str
@@ -29,6 +31,10 @@ class Model:
     kept: str = "table"
     month_from: str | None = None
 
+    @property
+    def stored(self) -> bool:
+        return self.kept in ("table", "incremental")
+
 
 def _models(module, layer: str, names: str, kept: str = "table") -> list[Model]:
     return [Model(n, layer, getattr(module, n), kept) for n in names.split()]
@@ -54,7 +60,7 @@ CATALOG: dict[str, Model] = {
             "dim_mkt_customer dim_seller dim_product dim_category dim_geography dim_date "
             "dim_carrier dim_payment_method dim_return_reason dim_promotion",
         ),
-        Model("fct_orders", "core", facts.fct_orders, month_from="order_date"),
+        Model("fct_orders", "core", facts.fct_orders, "incremental", "order_date"),
         Model("fct_order_items", "core", facts.fct_order_items, month_from="order_date"),
         *_models(facts, "core", "fct_payments fct_returns fct_reviews fct_shipping_events"),
         *_models(
@@ -76,7 +82,8 @@ class Warehouse(Mapping):
     """Tables by name. A model is built when first asked for and written once.
 
     ``raw`` maps a raw table name to its frame; ``extra`` adds tables that are not models,
-    such as the audit log.
+    such as the audit log. With ``stored`` off every model stays a plan. An incremental
+    model adds to the table an earlier build left at ``root``, unless ``full_refresh``.
     """
 
     def __init__(
@@ -86,10 +93,13 @@ class Warehouse(Mapping):
         params: Params | None = None,
         root: str | None = None,
         extra: Mapping[str, Callable[[], DataFrame]] | None = None,
+        stored: bool = True,
+        full_refresh: bool = False,
     ):
         self.spark = spark
         self.params = params or Params()
         self.root = root or f"{workspace(spark)}/warehouse"
+        self.stored, self.full_refresh = stored, full_refresh
         self._raw = raw
         self._extra = dict(extra or {})
         self._tables: dict[str, DataFrame] = {}
@@ -126,15 +136,20 @@ class Warehouse(Mapping):
         if name in self._extra:
             return self._extra[name]()
         model = CATALOG[name]
+        counted = Observation()
+        if model.kept == "incremental" and self.stored and not self.full_refresh:
+            path = table_path(self.root, model.layer, name)
+            table = load_orders(self, self.params, self.spark, path, counted)
+            self.rows[name] = counted.get["n"]
+            return table
         df = self.build(name)
-        if model.kept == "inline":
-            return df
         if model.kept == "view":
             return register_view(df, name)
+        if model.kept == "inline" or not self.stored:
+            return df
         if model.month_from:
             df = df.withColumn("order_month", month_of(model.month_from))
         part = "order_month" if model.month_from else None
-        counted = Observation()
         table = write_table(df, self.root, model.layer, name, part, counted)
         self.rows[name] = counted.get["n"]
         return table
@@ -144,3 +159,27 @@ class Warehouse(Mapping):
 
     def __len__(self) -> int:
         return len(CATALOG)
+
+
+class StoredTables(Mapping):
+    """The tables an earlier build left at ``root``, read only. Views are computed on reading."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, extra: Mapping[str, Callable[[], DataFrame]] | None = None
+    ):
+        self.spark, self.root, self._extra = spark, root, dict(extra or {})
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self._extra:
+            return self._extra[name]()
+        model = CATALOG[name]
+        if not model.stored:
+            return model.build(self, Params())
+        reader = self.spark.read.option("mergeSchema", model.kept == "incremental")
+        return reader.parquet(table_path(self.root, model.layer, name))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(CATALOG)
+
+    def __len__(self) -> int:
+        return len(CATALOG)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from souk.operators.intermediate import int_orders_clean
 from souk.operators.upsert import load_orders
 from souk.params import Params
 from souk.plans.warehouse import Warehouse
+from souk.session import settle
 from souk.sources.raw import raw_schema
 
 
@@ -33,13 +36,15 @@ def ingest_orders(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        tables = Warehouse(
-            batch.sparkSession,
-            lambda name: batch if name == "orders" else raw(name),
-            params,
-            root=f"{checkpoint}/batches/{batch_id}",
-        )
-        load_orders(tables, params, batch.sparkSession, target)
+        session = batch.sparkSession
+        batch = settle(batch, "arrivals")
+        plans = Warehouse(session, lambda name: batch if name == "orders" else raw(name), params, stored=False)
+        wanted = batch.select("order_id").distinct()
+        # Payments and lines are cut down to the batch before anything is shuffled by order.
+        near = {n: plans[n].join(wanted, "order_id", "left_semi") for n in ("stg_payments", "stg_order_items")}
+        tables = ChainMap(near, plans)
+        near["int_orders_clean"] = int_orders_clean(tables, params)
+        load_orders(tables, params, session, target)
 
     return (
         arrivals.writeStream.foreachBatch(load)

@@ -1,11 +1,12 @@
 import pytest
 
+from souk.__main__ import main
 from souk.operators import quality
 from souk.params import Params
 from souk.plans import kpis
 from souk.plans.audit import AuditLog
 from souk.plans.build import WAVES, run_pipeline
-from souk.plans.warehouse import CATALOG, UpstreamMissing, Warehouse
+from souk.plans.warehouse import CATALOG, StoredTables, UpstreamMissing, Warehouse
 from souk.sources.raw import RAW_COLUMNS, csv_source
 from tests.helpers import values
 
@@ -93,3 +94,19 @@ def test_warning_keeps_going(spark, tmp_path):
     status = {r["node_name"]: r["status"] for r in run.collect()}
     assert status["positive_price_dim_product_unit_price"] == "warn"
     assert "skipped" not in status.values()
+
+
+def test_command_line_builds_twice(spark, tmp_path):
+    raw_dir, out = folder(tmp_path), str(tmp_path / "out")
+    assert main([raw_dir, out, "--as-of", "2024-12-31"]) == 0
+    more = [*CELLS["orders"], "o3,c1,2024-03-01,shipped,2024-03-02,,US,K1,Kay,,1,9,1,10", "o4,c1,2024-01-01,shipped,,,US,,,,1,9,1,10"]
+    dates = [*CELLS["dates"], "2024-03-01,2024,3,1,Friday,Q1,false,false,false,false,false"]
+    folder(tmp_path, orders=more, dates=dates)
+    assert main([raw_dir, out]) == 0
+    tables = StoredTables(spark, out, {"audit_runs": AuditLog(spark, f"{out}/audit/runs").read})
+    # The second run adds the newer order and ignores the one that arrived late.
+    assert values(tables["fct_orders"], "order_id") == [("o1",), ("o3",)]
+    assert values(kpis.pipeline_runs(tables), "overall_status", "nodes_total") == [("green", 131)] * 2
+    assert kpis.kpi_overview(tables).first()["orders_total"] == 2
+    assert main([raw_dir, out, "--full-refresh"]) == 0
+    assert values(tables["fct_orders"], "order_id") == [("o1",), ("o3",), ("o4",)]
