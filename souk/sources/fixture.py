@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from souk.operators.jobs import calendar
 from souk.operators.ordered import number_rows
 from souk.sources.raw import RAW_COLUMNS, read_parquet
+from souk.sources.sinks import write_table
 
 # Payment methods and return reasons, in code order.
 PAYMENT_METHODS = [
@@ -63,14 +64,19 @@ def _day(base: str, offset: Column) -> Column:
 
 
 class FixtureSource:
-    """Callable raw source: ``source("orders")`` gives the raw orders frame."""
+    """Callable raw source: ``source("orders")`` gives the raw orders frame.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self._spark, self._folder = spark, folder
+    With ``store`` given, each raw table is written there once and read from there, as the
+    files of a real source would be.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, store: str | None = None):
+        self._spark, self._folder, self._store = spark, folder, store
         self._inputs: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return getattr(self, f"_{name}")().select(*RAW_COLUMNS[name].split())
+        df = getattr(self, f"_{name}")().select(*RAW_COLUMNS[name].split())
+        return write_table(df, self._store, "raw", name) if self._store else df
 
     def _read(self, name: str) -> DataFrame:
         if name not in self._inputs:
@@ -395,5 +401,5 @@ def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def fixture_source(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
-    return FixtureSource(spark, folder)
+def fixture_source(spark: SparkSession, folder: str, store: str | None = None) -> Callable[[str], DataFrame]:
+    return FixtureSource(spark, folder, store)
