@@ -16,6 +16,7 @@ from souk.params import Params
 from souk.plans.audit import AuditLog
 from souk.plans.build import run_pipeline
 from souk.plans.warehouse import Warehouse
+from souk.session import size_shuffles
 from souk.sources.raw import csv_source
 
 
@@ -30,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("souk").getOrCreate()
+    size_shuffles(spark, args.raw_dir)
     params = Params(as_of_date=args.as_of, return_window_days=args.return_window, lookback_days=args.lookback)
     log = AuditLog(spark, f"{args.warehouse_dir}/audit/runs")
     tables = Warehouse(

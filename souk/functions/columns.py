@@ -63,6 +63,16 @@ def to_instant(c: str | Column) -> Column:
     return F.when(col(c).rlike(ISO_DAY), col(c).try_cast("timestamp_ntz"))
 
 
+def reshuffled(key: str) -> Column:
+    """The same text key, no longer recognised as the column a table is partitioned by.
+
+    Adaptive execution splits a hot join partition only if both sides come straight from a
+    shuffle of their own. An aggregate on the join key would be joined where it was
+    computed; selecting its key through this gives it a shuffle, of one row per key.
+    """
+    return F.concat(F.col(key), F.lit("")).alias(key)
+
+
 # ---- calendar arithmetic ----------------------------------------------------
 
 

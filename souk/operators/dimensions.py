@@ -17,6 +17,7 @@ from souk.functions.columns import (
     long_sum,
     money_sum,
     ratio,
+    reshuffled,
     zero_if_null,
 )
 from souk.operators.staging import Tables
@@ -102,7 +103,7 @@ def dim_product(t: Tables, p: Params) -> DataFrame:
     per_order = t["stg_returns"].groupBy("order_id").agg(F.count("*").alias("_returns"))
     returned = (
         items.select("order_id", "product_id")
-        .join(per_order, "order_id")
+        .join(per_order.select(reshuffled("order_id"), "_returns"), "order_id")
         .groupBy("product_id")
         .agg(long_sum("_returns").alias("returns_count"))
     )

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.columns import days_between, hours_crossed, ratio
+from souk.functions.columns import days_between, hours_crossed, ratio, reshuffled
 from souk.operators.staging import Tables
 from souk.params import Params
 
@@ -206,6 +206,7 @@ def fct_shipping_events(t: Tables, p: Params) -> DataFrame:
         events.where(F.col("event_type") == "order_created")
         .groupBy("order_id")
         .agg(F.min("event_at").alias("_anchor"))
+        .select(reshuffled("order_id"), "_anchor")
     )
     return events.join(anchors, "order_id", "left").select(
         "event_id",

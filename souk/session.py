@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -41,6 +43,19 @@ def workspace(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/souk/{app}"
 
 
+def size_shuffles(spark: SparkSession, folder: str, partition_bytes: int = 128 * 1024 * 1024) -> int:
+    """Raise the number of shuffle partitions to fit the files below ``folder``.
+
+    Adaptive execution starts every shuffle from this number and merges what turns out
+    small, so it has to suit the largest table. Only file sizes are read here, no content.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    total = files.agg(F.sum("length")).first()[0] or 0
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    return wanted
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Write a frame to the workspace and read it back, so later uses share one result.
 
