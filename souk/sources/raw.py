@@ -34,16 +34,18 @@ def raw_schema(name: str) -> StructType:
     return StructType([StructField(c, StringType()) for c in RAW_COLUMNS[name].split()])
 
 
-def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """CSV with a header line; quotes inside quoted fields are doubled."""
-    return (
-        spark.read.schema(raw_schema(name))
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", False)
-        .csv(f"{folder}/{name}.csv")
-    )
+# A header line that must name the columns in order; quotes inside quoted fields are doubled.
+CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "quote": '"', "escape": '"'}
+
+
+def read_raw(spark: SparkSession, folder: str, name: str, multi_line: bool = False) -> DataFrame:
+    """One raw table as text, from a CSV file or a folder of them.
+
+    Line breaks inside quoted fields need ``multi_line``; a file is then read by one task,
+    so large tables should come in many files.
+    """
+    reader = spark.read.schema(raw_schema(name)).options(**CSV_OPTIONS).option("multiLine", multi_line)
+    return reader.csv(f"{folder}/{name}.csv")
 
 
 def csv_source(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:

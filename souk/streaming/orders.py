@@ -13,7 +13,7 @@ from souk.operators.upsert import load_orders
 from souk.params import Params
 from souk.plans.warehouse import Warehouse
 from souk.session import settle
-from souk.sources.raw import raw_schema
+from souk.sources.raw import CSV_OPTIONS, raw_schema
 
 
 def ingest_orders(
@@ -31,9 +31,7 @@ def ingest_orders(
     other raw tables.
     """
     params = params or Params()
-    arrivals = (
-        spark.readStream.schema(raw_schema("orders")).option("header", True).option("escape", '"').csv(inbox)
-    )
+    arrivals = spark.readStream.schema(raw_schema("orders")).options(**CSV_OPTIONS).csv(inbox)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

@@ -96,3 +96,19 @@ def test_csv_quotes_and_blanks(spark, tmp_path):
     assert values(s.stg_reviews({"raw_reviews": df}, P), "rating", "review_date", "verified_purchase") == [
         (5, date(2024, 1, 5), True)
     ]
+
+
+def test_csv_header_has_to_match(spark, tmp_path):
+    (tmp_path / "carriers.csv").write_text("carrier_name,carrier_id,origin_country,sla_promised_days,reliability_score\nx,K,US,1,0.5\n")
+    with pytest.raises(Exception, match="header"):
+        read_raw(spark, str(tmp_path), "carriers").collect()
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    folder = tmp_path / "reviews.csv"
+    folder.mkdir()
+    header = "review_id,order_id,customer_id,rating,title,body,review_date,verified_purchase\n"
+    (folder / "1.csv").write_text(header + 'R1,O1,C1,5,t,"two\nlines",2024-01-05,true\n')
+    (folder / "2.csv").write_text(header + "R2,O1,C1,4,t,one,2024-01-05,true\n")
+    df = read_raw(spark, str(tmp_path), "reviews", multi_line=True)
+    assert values(df, "review_id", "body") == [("R1", "two\nlines"), ("R2", "one")]
