@@ -17,6 +17,11 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def id_text(name: str = "doc_id") -> Column:
+    """An id for the way through pandas, where a NULL would turn integers into floats."""
+    return F.col(name).cast("bigint").cast("string").alias(name)
+
+
 def word_count(text: str = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("bigint")
 

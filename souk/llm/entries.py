@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.llm import mixing
 from souk.llm.block_identity import exact_groups
+from souk.llm.decontamination import contaminations
+from souk.llm.quality_cnn import scored
+from souk.llm.secrets import span_text, with_secrets
 from souk.llm.simhash_neardup import hex_fingerprint, near_duplicates
 
 
@@ -13,18 +17,47 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = with_secrets(_table(spark, folder, "documents"))
+    counts = [F.size(f"known.{kind}").cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("found").alias("spans"))
+
+
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_neardup, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_decontamination,
+        op3_simhash_neardup,
+        op4_secret_scan,
+        op5_source_mixing,
+        op9_quality_cnn,
+        op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
+    "op5_source_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": r"""
         with normal as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import components, whole_text
+from souk.llm.common import components, id_text, whole_text
 from souk.session import settle
 
 SHINGLE = 3
@@ -66,10 +66,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "fp": [fingerprint(t, shingle) for t in rows["text"]]})
+            yield rows[["doc_id"]].assign(fp=[fingerprint(t, shingle) for t in rows["text"]])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return slim.mapInPandas(score, "doc_id bigint, fp bigint")
+    slim = docs.select(id_text(), whole_text().alias("text"))
+    return slim.mapInPandas(score, "doc_id string, fp bigint").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _distance(points: np.ndarray, vantage: int) -> np.ndarray:
