@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from souk.llm import mixing
 from souk.llm.block_identity import exact_groups
 from souk.llm.decontamination import contaminations
+from souk.llm.pii_feistel import pseudonymise
 from souk.llm.quality_cnn import scored
 from souk.llm.secrets import span_text, with_secrets
 from souk.llm.simhash_neardup import hex_fingerprint, near_duplicates
+from souk.llm.site_style_tree import main_texts
+
+
+#: Any key gives the same kind of result; a deployment brings its own, kept out of the code.
+PSEUDONYM_KEY = "example"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_site_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(_table(spark, folder, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -36,6 +46,10 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii_feistel(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymise(_table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
 def op9_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -47,10 +61,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_site_style_tree,
         op2_decontamination,
         op3_simhash_neardup,
         op4_secret_scan,
         op5_source_mixing,
+        op8_pii_feistel,
         op9_quality_cnn,
         op10_exact_dedup,
     )
