@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import mixing
+from souk.llm import mixing, warc_fixity
 from souk.llm.block_identity import exact_groups
 from souk.llm.decontamination import contaminations
+from souk.llm.fuzzy_lines import deduplicated
 from souk.llm.pii_feistel import pseudonymise
 from souk.llm.quality_cnn import scored
 from souk.llm.secrets import span_text, with_secrets
@@ -46,6 +47,23 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The WARC records of all pages against a replica in which some rotted and some were lost.
+
+    Rot turns the payload end for end, so lengths stay; which records it meets follows from page_id.
+    """
+    rotten = warc_fixity.warc_record(F.col("url"), F.reverse("html"))
+    two = F.when(F.col("page_id") % 89 == 5, F.sha2(rotten, 256)).otherwise(F.sha2("record", 256))
+    layout = warc_fixity.warc_layout(_table(spark, folder, "pages"), also={"digest_two": two})
+    other = layout.where(F.col("page_id") % 211 != 7).withColumn("digest", F.col("digest_two"))
+    found = warc_fixity.audit(layout, other)
+    return found.join(layout.select("file", "offset", "page_id"), ["file", "offset"])
+
+
+def op7_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicated(_table(spark, folder, "documents"))
+
+
 def op8_pii_feistel(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymise(_table(spark, folder, "documents"), PSEUDONYM_KEY)
 
@@ -66,6 +84,8 @@ QUERIES = {
         op3_simhash_neardup,
         op4_secret_scan,
         op5_source_mixing,
+        op6_warc_fixity,
+        op7_fuzzy_lines,
         op8_pii_feistel,
         op9_quality_cnn,
         op10_exact_dedup,
@@ -74,6 +94,25 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_source_mixing": mixing.ORACLE_SQL,
+    "op6_warc_fixity": r"""
+        with sized as (
+            select page_id, cast(
+                octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                    || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') || chr(13) || chr(10)
+                    || 'Content-Type: text/html' || chr(13) || chr(10)
+                    || 'WARC-Payload-Digest: sha256:')) + 64 + 2
+                + length('Content-Length: ') + length(cast(octet_length(encode(coalesce(html, ''))) as varchar)) + 4
+                + octet_length(encode(coalesce(html, ''))) + 4 as bigint) as length
+            from pages
+        ), placed as (
+            select *, cast(sum(length) over (order by page_id rows unbounded preceding) as bigint) - length as begin from sized
+        ), filed as (
+            select *, begin // 1073741824 as file, begin - min(begin) over (partition by begin // 1073741824) as "offset" from placed
+        )
+        select file, "offset", case when page_id % 211 = 7 then 'missing' else 'changed' end as state,
+            length as length_one, case when page_id % 211 <> 7 then length end as length_two, page_id
+        from filed where page_id % 89 = 5 or page_id % 211 = 7
+    """,
     "op10_exact_dedup": r"""
         with normal as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents
