@@ -1,7 +1,8 @@
-"""A training corpus out of raw documents: the text operators run one after another.
+"""A training corpus out of raw documents: text operators one after another.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back as
-the documents of the next stage. All but the last return the columns of ``documents``.
+the documents of the next stage. All but the last return the columns of ``documents``; the last
+adds ``taken``, the words the mix takes of each document.
 """
 
 from __future__ import annotations
@@ -14,10 +15,21 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.llm.block_identity import without_copies
+from souk.llm.decontamination import without_benchmark
+from souk.llm.mixing import mixed_documents
+from souk.llm.quality_cnn import accepted
 from souk.llm.simhash_neardup import without_near_copies
 from souk.session import settle
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, _table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_copies(docs)
 
@@ -26,17 +38,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without_near_copies(docs)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_benchmark(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good),
     ("exact dedup", drop_exact_copies),
     ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources", mix),
 ]
 
-#: The quality classifier is a trained network, which SQL can't express.
+#: The first stage is a trained network, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -211,13 +211,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS)
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns; no row is moved."""
-    for block in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, radius))
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
+    def clean(index):
+        def judge(texts: pd.Series) -> pd.Series:
             known: dict[str, int] = {}
             return texts.map(lambda t: next(index.value.matches(t, known), None) is None).astype(bool)
 
-        docs = docs.where(clean(whole_text()))
+        return F.pandas_udf(judge, "boolean")
+
+    for block in item_blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, radius))
+        docs = docs.where(clean(index)(whole_text()))
     return docs

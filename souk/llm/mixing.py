@@ -74,6 +74,22 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` with all their columns and ``taken``, the words the mix takes of each.
+
+    Rows that repeat doc_id, source and size share what is taken of them evenly, in whole words.
+    """
+    takes = mixed(docs, weights, most, seed).groupBy("doc_id", "source", "size")
+    takes = takes.agg(F.expr("sum(taken) div count(*)").alias("taken"))
+    takes = settle(takes.select(*[F.col(c).alias(f"_llm_{c}") for c in ("doc_id", "source", "size", "taken")]), "takes")
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_llm_doc_id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_llm_source"))
+        & (word_count() == F.col("_llm_size"))
+    )
+    return docs.drop("taken").join(takes, same).withColumn("taken", F.col("_llm_taken")).drop(*takes.columns)
+
+
 ORACLE_SQL = r"""
     with recursive sized as (
         select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
