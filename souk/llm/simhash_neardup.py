@@ -199,7 +199,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (bigint), component_id.
+    """One row per row of ``docs``: doc_id, fp (bigint), component_id, root (a fingerprint that names the component).
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``radius`` bits, the
     row's own included; NULL ids count only if no other is reachable. Rows without words share
@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     classes = components(fingerprint_links(prints, radius), "fp", "root").select(F.col("id").alias("fp"), "component")
     rooted = prints.join(classes, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = settle(rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id"), "classes")
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = settle(rooted.select("fp", "root").join(firsts, "root"), "classes")
+    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_fingerprint() -> Column:
@@ -220,12 +220,30 @@ def hex_fingerprint() -> Column:
 
 
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, all columns.
+    """The rows of ``docs`` that stay, one per group, with all their columns.
 
-    Rows without doc_id stay unless they are linked to one with a doc_id; rows that repeat a
-    doc_id are judged by it alike.
+    It is the row with the smallest doc_id, NULL after all others. A doc_id that stands in one row
+    says all that is needed to find the row again; rows without an id and rows that repeat one are
+    found by id and fingerprint, and of those alike in both one stays.
     """
-    found = near_duplicates(docs, shingle, radius).groupBy("doc_id").agg(F.min("component_id").alias("_llm_first"))
-    found = settle(found.select(F.col("doc_id").alias("_llm_id"), "_llm_first"), "firsts")
-    kept = found.where(F.col("_llm_id").eqNullSafe(F.col("_llm_first")))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi")
+    found = settle(near_duplicates(docs, shingle, radius), "near")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("own"))
+    vague = (F.col("n") > 1) | F.col("doc_id").isNull()
+    ids = settle(ids.select(F.col("doc_id").alias("_llm_id"), "own", vague.alias("vague")), "ids")
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id"))
+    kept = docs.join(ids.where("own and not vague"), same, "left_semi")
+    unsure = settle(ids.where("vague").select("_llm_id"), "vague")
+    if unsure.isEmpty():
+        return kept
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")).alias("first")
+    firsts = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_llm_id"), F.col("first.fp").alias("_llm_fp"))
+    firsts = settle(firsts, "firsts")
+
+    @F.pandas_udf("bigint")
+    def fp(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
+
+    again = docs.join(unsure, same, "left_semi").withColumn("_llm_print", fp(whole_text()))
+    again = again.join(firsts, same & (F.col("_llm_print") == F.col("_llm_fp")), "left_semi")
+    rows = again.groupBy("doc_id", "_llm_print").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_llm_row"))
+    return kept.unionByName(rows.select("_llm_row.*"))

@@ -1,0 +1,76 @@
+import hashlib
+import math
+from collections import defaultdict
+
+from souk.llm.mixing import mixed, mixed_documents, source_targets
+from tests.llm.tables import AWKWARD, documents, prose, rows_of
+
+
+def plain_targets(sizes):
+    """Water-filling by hand: share by weight, stop at three times, share the excess anew."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        rest = [s for s in names if s not in stopped]
+        share = (total - sum(3 * sizes[s] for s in stopped)) / sum(weight[s] for s in rest)
+        above = {s for s in rest if weight[s] * share > 3 * sizes[s]}
+        if not above:
+            return {s: 3.0 * sizes[s] if s in stopped else weight[s] * share for s in names}
+        stopped |= above
+
+
+def plain_mix(rows):
+    size = [len((t or "").split()) for _, t, _ in rows]
+    by = defaultdict(list)
+    for (doc, _, source), n in zip(rows, size):
+        key = hashlib.md5(f"{'' if doc is None else doc}|0".encode()).hexdigest()
+        by[source].append((key, (doc is not None, doc or 0), n, doc))
+    sums = {s: sum(r[2] for r in v) for s, v in by.items()}
+    targets = plain_targets(sums)
+    out = []
+    for source, members in by.items():
+        budget = math.floor(targets[source])
+        whole = budget // sums[source] if sums[source] else 0
+        left = budget - whole * sums[source]
+        for _, _, n, doc in sorted(members):
+            part = min(n, left)
+            left -= part
+            out.append((doc, n, sums[source], targets[source], whole * n + part))
+    return sorted(out, key=str)
+
+
+def rows():
+    made = [(*r, "awkward") for r in AWKWARD]
+    for k, (source, many, words) in enumerate(
+        [("hot", 200, 60), ("tiny", 3, 4), ("ärger", 10, 30), ("Zeta", 25, 12), (None, 8, 40), ("blank", 4, 0)]
+    ):
+        made += [(1000 * (k + 1) + i, prose(i, words + i % 7 if words else 0), source) for i in range(many)]
+    return made
+
+
+def test_every_word_is_where_the_budget_says(spark):
+    found = mixed(documents(spark, rows()))
+    assert rows_of(found, "doc_id", "size", "source_size", "target", "taken") == plain_mix(rows())
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in found.collect())
+
+
+def test_sources_of_one_size_stop_at_three_times(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1), ("c", 1000)], "source string, source_size bigint")
+    assert rows_of(source_targets(sizes), "source", "target") == sorted(plain_targets({"a": 10, "b": 1, "c": 1000}).items())
+
+
+def test_whole_rows_are_kept_for_the_pipeline(spark):
+    table = documents(spark, rows())
+    found = mixed_documents(table)
+    assert set(found.columns) == set(table.columns) | {"taken"}
+    assert found.count() == len(rows())
+    assert found.where("source = 'hot'").agg({"taken": "sum"}).first()[0] == sum(
+        r[4] for r in plain_mix(rows()) if r[2] == sum(len(t.split()) for _, t, s in rows() if s == "hot")
+    )
+
+
+def test_no_words_and_no_rows(spark):
+    table = documents(spark, [(1, None, "a"), (2, " ", None)])
+    assert rows_of(mixed(table), "doc_id", "target", "taken") == [(1, 0.0, 0), (2, 0.0, 0)]
+    assert mixed(table.where("false")).collect() == []
