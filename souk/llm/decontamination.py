@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,8 @@ SIMILARITY = 0.8
 RADIUS = 3
 #: Windows of items sent to the tasks at a time (some 40 bytes each).
 INDEX_WINDOWS = 200_000
-#: Words whose shingles are summed at a time.
-STEP = 16384
+#: Words that are searched at a time, in one text or several.
+STEP = 32768
 
 #: Words of an item from which on a window size and its stride apply. An item of n words keeps a
 #: run of n - (n - 4) // 9 words below 49 words, and of 24 words or more from there on.
@@ -49,14 +49,15 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+class WordHashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
@@ -70,23 +71,32 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_prints(hashes: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, SimHash) of windows of ``size`` words every ``stride`` words, and of the last one."""
-    wide = size - SHINGLE + 1
-    last = len(hashes) - wide
-    if last < 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    starts = np.unique(np.append(np.arange(0, last + 1, stride), last))
-    prints = []
-    for at in range(0, len(starts), STEP):
-        part = starts[at : at + STEP]
-        cut = hashes[part[0] : part[-1] + wide]
+def window_starts(words: int, size: int, stride: int) -> np.ndarray:
+    """Where windows of ``size`` words begin in a text: every ``stride`` words, and the last one."""
+    last = words - size
+    return np.unique(np.append(np.arange(0, last + 1, stride), last)) if last >= 0 else np.empty(0, np.int64)
+
+
+def window_prints(hashes: np.ndarray, starts: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """SimHashes of windows of several sizes, given by their starts in order.
+
+    The bits of a shingle are laid out once for all sizes. A window holds one shingle or a multiple
+    of four, so sums over four shingles make them all.
+    """
+    found = {size: [np.empty(0, np.uint64)] for size in starts}
+    most = max(starts) - SHINGLE + 1
+    for seg in range(0, len(hashes), STEP):
+        cut = hashes[seg : seg + STEP + most]
         bits = np.unpackbits(cut.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.zeros((len(cut) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:])
-        ones = sums[part - part[0] + wide] - sums[part - part[0]]
-        prints.append(np.packbits(2 * ones > wide, axis=1, bitorder="little").view("<u8").ravel())
-    return starts, np.concatenate(prints)
+        twos = bits[:-1] + bits[1:]
+        fours = twos[:-2] + twos[2:]
+        for size, all_starts in starts.items():
+            wide = size - SHINGLE + 1
+            at = all_starts[slice(*np.searchsorted(all_starts, (seg, seg + STEP)))] - seg
+            if len(at):
+                ones = bits[at] if wide == 1 else sum(fours[at + k] for k in range(0, wide, 4))
+                found[size].append(np.packbits(2 * ones > wide, axis=1, bitorder="little").view("<u8").ravel())
+    return {size: np.concatenate(parts) for size, parts in found.items()}
 
 
 def weighted_similarity(a: list[str], b: list[str]) -> float:
@@ -105,15 +115,16 @@ class Index:
         self.ids = [item for item, _ in items]
         self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
         found: dict[int, list[tuple]] = defaultdict(list)
-        known: dict[str, int] = {}
-        self.strides = {}
+        known = WordHashes()
+        self.strides: dict[int, int] = {}
         for k, words in enumerate(self.words):
             at = next(((size, stride) for least, size, stride in SIZES if len(words) >= least), None)
             if at is None:
                 if words:
                     self.short[tuple(words)].append(k)
                 continue
-            starts, prints = window_prints(shingle_hashes(_word_hashes(words, known)), at[0], 1)
+            starts = window_starts(len(words), at[0], 1)
+            prints = window_prints(shingle_hashes(known.of(words)), {at[0]: starts})[at[0]]
             self.strides[at[0]] = min(at[1], self.strides.get(at[0], at[1]))
             found[at[0]].append((prints, np.full(len(prints), k), starts))
         edges = [64 * b // (radius + 1) for b in range(radius + 2)]
@@ -124,45 +135,74 @@ class Index:
             for low, high in zip(edges, edges[1:]):
                 key = (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
                 order = np.argsort(key, kind="stable")
-                tables.append((np.uint64(low), np.uint64((1 << (high - low)) - 1), key[order], order))
+                # Where the prints of each block value begin; the blocks of radius 3 have 16 bits.
+                begin = np.searchsorted(key[order], np.arange((1 << (high - low)) + 1, dtype=np.uint64))
+                tables.append((np.uint64(low), np.uint64((1 << (high - low)) - 1), begin, order))
             self.sizes[size] = (prints, owner, start, tables)
 
-    def hits(self, words: list[str], known: dict[str, int]) -> dict[int, set[int]]:
-        """Item to the document positions where it may begin."""
-        found: dict[int, set[int]] = defaultdict(set)
-        if not self.sizes or len(words) < SHINGLE:
+    def hits(self, texts: list[list[str]], known: WordHashes) -> dict[int, dict[int, set[int]]]:
+        """Text to item to the word positions where it may begin; the texts are searched as one."""
+        found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        lengths = np.array([len(t) for t in texts])
+        offsets = np.cumsum(lengths) - lengths
+        if not self.sizes or lengths.sum() < SHINGLE:
             return found
-        hashes = shingle_hashes(_word_hashes(words, known))
+        hashes = shingle_hashes(known.of([w for t in texts for w in t]))
+        # Windows lie within a text, so the shingles across two texts are in none.
+        starts = {
+            size: np.concatenate([o + window_starts(n, size, stride) for o, n in zip(offsets, lengths)])
+            for size, stride in self.strides.items()
+        }
+        windows = window_prints(hashes, starts)
         for size, (prints, owner, start, tables) in self.sizes.items():
-            at, mine = window_prints(hashes, size, self.strides[size])
-            for low, mask, keys, order in tables:
-                key = (mine >> low) & mask
-                first, after = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for w in np.nonzero(after > first)[0]:
-                    near = order[first[w] : after[w]]
-                    near = near[np.bitwise_count(prints[near] ^ mine[w]) <= self.radius]
-                    for j in near:
-                        found[int(owner[j])].add(int(at[w]) - int(start[j]))
+            mine = windows[size]
+            for low, mask, begin, order in tables:
+                key = ((mine >> low) & mask).astype(np.int64)
+                first = begin[key]
+                many = begin[key + 1] - first
+                hit = np.nonzero(many)[0]
+                # Every (window, print) that agree in this block, then those within the radius.
+                many = many[hit]
+                window = np.repeat(hit, many)
+                place = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
+                near = order[np.repeat(first[hit], many) + place]
+                close = np.bitwise_count(prints[near] ^ mine[window]) <= self.radius
+                at = starts[size][window[close]]
+                text = np.searchsorted(offsets, at, "right") - 1
+                for t, j, place in zip(text.tolist(), near[close].tolist(), (at - offsets[text]).tolist()):
+                    found[t][int(owner[j])].add(place - int(start[j]))
         return found
 
-    def matches(self, text: str | None, known: dict[str, int]) -> Iterator[tuple[int, int, int, float]]:
-        """(item id, first word, words, similarity): the best window of each item that is similar enough."""
-        words = words_of(text)
-        for k in self.short.get(tuple(words), ()):
-            yield self.ids[k], 0, len(words), 1.0
-        for k, places in self.hits(words, known).items():
-            item, best = self.words[k], (0.0, 0, 0)
-            # Words added or left out move the end of the window by as many places.
-            slack = len(item) // 9
-            for begin in sorted(places):
-                for b in {max(0, begin), max(0, begin + slack // 2), max(0, begin - slack // 2)}:
-                    for size in {len(item), len(item) + slack // 2, len(item) - slack // 2}:
-                        score = weighted_similarity(words[b : b + size], item)
-                        best = max(best, (score, -b, min(size, len(words) - b)))
-                if best[0] == 1.0:
-                    break
-            if best[0] >= SIMILARITY:
-                yield self.ids[k], -best[1], best[2], best[0]
+    def search(self, texts: Iterable[str | None], known: WordHashes) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, item id, first word, words, similarity): the best window of each item that is similar enough."""
+        batch: list[list[str]] = []
+        done = words = 0
+        for text in texts:
+            batch.append(words_of(text))
+            words += len(batch[-1])
+            if words >= STEP:
+                yield from self._judged(batch, done, known)
+                done, batch, words = done + len(batch), [], 0
+        yield from self._judged(batch, done, known)
+
+    def _judged(self, texts: list[list[str]], done: int, known: WordHashes) -> Iterator[tuple]:
+        hits = self.hits(texts, known)
+        for t, words in enumerate(texts):
+            for k in self.short.get(tuple(words), ()) if len(words) < SHINGLE else ():
+                yield done + t, self.ids[k], 0, len(words), 1.0
+            for k, places in hits.get(t, {}).items():
+                item, best = self.words[k], (0.0, 0, 0)
+                # Words added or left out move the end of the window by as many places.
+                slack = len(item) // 9
+                for begin in sorted(places):
+                    for b in {max(0, begin), max(0, begin + slack // 2), max(0, begin - slack // 2)}:
+                        for size in {len(item), len(item) + slack // 2, len(item) - slack // 2}:
+                            score = weighted_similarity(words[b : b + size], item)
+                            best = max(best, (score, -b, min(size, len(words) - b)))
+                    if best[0] == 1.0:
+                        break
+                if best[0] >= SIMILARITY:
+                    yield done + t, self.ids[k], -best[1], best[2], best[0]
 
 
 def item_blocks(benchmark: DataFrame, most: int = INDEX_WINDOWS) -> Iterator[list[tuple[int, str]]]:
@@ -195,9 +235,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS)
         index = spark.sparkContext.broadcast(Index(block, radius))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            known: dict[str, int] = {}
+            known = WordHashes()
             for rows in batches:
-                hits = [(d, *m) for d, t in zip(rows["doc_id"], rows["text"]) for m in index.value.matches(t, known)]
+                ids = rows["doc_id"].tolist()
+                hits = [(ids[m[0]], *m[1:]) for m in index.value.search(rows["text"], known)]
                 if len(known) > 1_000_000:
                     known.clear()
                 names = ["doc_id", "item_id", "first_word", "words", "similarity"]
@@ -214,8 +255,9 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
 
     def clean(index):
         def judge(texts: pd.Series) -> pd.Series:
-            known: dict[str, int] = {}
-            return texts.map(lambda t: next(index.value.matches(t, known), None) is None).astype(bool)
+            known = WordHashes()
+            hit = {m[0] for m in index.value.search(texts, known)}
+            return pd.Series([k not in hit for k in range(len(texts))], dtype=bool)
 
         return F.pandas_udf(judge, "boolean")
 

@@ -8,6 +8,8 @@ def plain_best(text, item):
     """Best weighted similarity of any item-sized window, over all windows."""
     words, want = d.words_of(text), d.words_of(item)
     n = len(want)
+    if n >= 5 and not set(zip(*[words[k:] for k in range(5)])) & set(zip(*[want[k:] for k in range(5)])):
+        return 0.0
     if n < 5:
         return 1.0 if words == want and words else 0.0
     return max((d.weighted_similarity(words[i : i + n], want) for i in range(max(1, len(words) - n + 1))), default=0.0)
@@ -39,12 +41,12 @@ def test_every_similar_passage_is_found():
     rng = random.Random(9)
     known = items()
     index = d.Index(known, d.RADIUS)
-    near = 0
+    known_words, near = d.WordHashes(), 0
     for k, text in known:
         for turn in range(8):
             passage = text if turn == 0 else changed(rng, text)
             whole = f"{prose(turn, 30)} {passage} {prose(k + 77, 25)}" if len(text.split()) >= 5 else passage
-            found = {m[0]: m[3] for m in index.matches(whole, {})}
+            found = {m[1]: m[4] for m in index.search([prose(1, 9), whole], known_words) if m[0] == 1}
             for j, other in known:
                 best = plain_best(whole, other)
                 if best >= d.SIMILARITY:
@@ -66,13 +68,28 @@ def test_the_blocks_find_all_fingerprints_within_the_radius():
             for b in rng.choice(64, d.RADIUS, replace=False):
                 p ^= 1 << int(b)
             reached = set()
-            for low, mask, keys, order in tables:
-                key = (np.uint64(p) >> low) & mask
-                reached.update(order[np.searchsorted(keys, key, "left") : np.searchsorted(keys, key, "right")].tolist())
+            for low, mask, begin, order in tables:
+                key = int((np.uint64(p) >> low) & mask)
+                reached.update(order[begin[key] : begin[key + 1]].tolist())
             near = np.nonzero(np.bitwise_count(prints ^ np.uint64(p)) <= d.RADIUS)[0]
             assert set(near.tolist()) <= reached
 
 
+def test_windows_do_not_depend_on_steps(monkeypatch):
+    import numpy as np
+
+    hashes = d.shingle_hashes(d.WordHashes().of(d.words_of(prose(3, 700))))
+    starts = {size: d.window_starts(700, size, stride) for size, stride in ((16, 8), (8, 6), (5, 3))}
+    whole = d.window_prints(hashes, starts)
+    monkeypatch.setattr(d, "STEP", 37)
+    for size, prints in d.window_prints(hashes, starts).items():
+        assert np.array_equal(prints, whole[size])
+        wide = size - d.SHINGLE + 1
+        for at, p in zip(starts[size], prints):
+            bits = [sum(int(h) >> b & 1 for h in hashes[at : at + wide]) for b in range(64)]
+            assert int(p) == sum(1 << b for b in range(64) if 2 * bits[b] > wide)
+
+
 def test_documents(spark):
     known = items()
     rows = [*AWKWARD, (30, f"{prose(1, 200)} {known[3][1]} {prose(2, 9000)}"), (31, known[20][1]), (31, known[20][1])]
