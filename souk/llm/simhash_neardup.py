@@ -179,8 +179,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     shards = min(MOST_SHARDS, -(-many // SHARD_SIZE))
     tree: list = []
     if shards > 1:
-        sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(shards * SAMPLE_PER_SHARD * 4).select("fp").toPandas()
-        tree = routes(sample["fp"].to_numpy().view(np.uint64), (shards - 1).bit_length(), radius)
+        # A hash picks the sample, so every run takes the same; sorted, it does not depend on the order of rows.
+        part = int(2**32 * min(1.0, 4 * shards * SAMPLE_PER_SHARD / many))
+        sample = prints.where((F.xxhash64("fp") % 2**32 + 2**32) % 2**32 < part).select("fp").toPandas()
+        tree = routes(np.sort(sample["fp"].to_numpy().view(np.uint64)), (shards - 1).bit_length(), radius)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
