@@ -86,10 +86,14 @@ def training_strings(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     in these rows are not.
     """
     marked = f"{ASSIGN}|({ACCESS[:-1]}{{{ACCESS_LEAST - 4},}})|({HEX[:-1]}{{{HEX_LEAST},}})"
-    texts = docs.select(whole_text().alias("t")).withColumn("has", F.regexp_like("t", F.lit(marked)))
-    # Sorted by hash alone, so that the rows are compared by eight bytes and few texts travel.
-    picked = [texts.where(c).orderBy(F.xxhash64("t")).limit(most // 2) for c in (F.col("has"), ~F.col("has"))]
-    rows = settle(picked[0].unionByName(picked[1]), "sample")
+    texts = docs.select(whole_text().alias("t")).withColumns(
+        {"has": F.regexp_like("t", F.lit(marked)), "order": F.xxhash64("t")}
+    )
+    # Only hashes are sorted; the texts up to the last hash follow, one of each.
+    orders = settle(texts.groupBy("has", "order").count().select("has", "order"), "orders")
+    last = [orders.where(c).orderBy("order").limit(most // 2).agg(F.max("order")).first()[0] for c in ("has", "not has")]
+    chosen = F.when(F.col("has"), F.col("order") <= F.lit(last[0])).otherwise(F.col("order") <= F.lit(last[1]))
+    rows = settle(texts.where(chosen).groupBy("has", "order").agg(F.first("t").alias("t")), "sample")
     values = [
         F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(1)),
         F.regexp_extract_all("t", F.lit(f"{ACCESS[:-1]}{{{ACCESS_LEAST - 4},}}"), F.lit(0)),
