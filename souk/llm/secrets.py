@@ -31,6 +31,8 @@ IDENTIFIER = r"[A-Za-z0-9+/_=-]"
 LEAST = 16
 #: Rows the model is counted over at most, half of them with a known secret.
 TRAIN_ROWS = 4000
+#: Pairs that the frequency of the second character counts for.
+BACK = 4.0
 #: Total log-likelihood ratio, and its mean per pair, from which on a string counts as random.
 TOTAL, MEAN = 12.0, 0.5
 
@@ -107,20 +109,25 @@ def training_strings(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
 
 
 def pair_ratios(strings: DataFrame) -> list[float]:
-    """Log-likelihood ratio of every pair given its first character, random against ordinary.
+    """Log-likelihood ratio of every character given the one before it, random against ordinary.
 
-    Counts are smoothed by a half; a label without strings leaves uniform pairs.
+    A pair is smoothed towards the frequency of its second character, and that by a half towards
+    an even one, so a character an ordinary identifier hardly has speaks for a random string even
+    after one that was never seen there. A label without strings leaves even frequencies.
     """
     counted = strings.select("secret", F.explode(_pairs(F.col("string"))).alias("pair")).groupBy("secret", "pair").count()
-    counts = {True: [0.5] * SYMBOLS**2, False: [0.5] * SYMBOLS**2}
+    counts = {True: [0] * SYMBOLS**2, False: [0] * SYMBOLS**2}
     for r in counted.where(F.col("pair").between(0, SYMBOLS**2 - 1)).collect():
-        counts[r["secret"]][r["pair"]] += r["count"]
-    ratios = []
-    for first in range(0, SYMBOLS**2, SYMBOLS):
-        one, two = (counts[label][first : first + SYMBOLS] for label in (True, False))
-        base = math.log(sum(two)) - math.log(sum(one))
-        ratios += [math.log(a) - math.log(b) + base for a, b in zip(one, two)]
-    return ratios
+        counts[r["secret"]][r["pair"]] = r["count"]
+    logs = {}
+    for label, pairs in counts.items():
+        rows = [pairs[a * SYMBOLS : (a + 1) * SYMBOLS] for a in range(SYMBOLS)]
+        second = [sum(column) + 0.5 for column in zip(*rows)]
+        total = sum(second)
+        logs[label] = [
+            math.log((c + BACK * second[b] / total) / (sum(row) + BACK)) for row in rows for b, c in enumerate(row)
+        ]
+    return [a - b for a, b in zip(logs[True], logs[False])]
 
 
 def with_secrets(docs: DataFrame, sample: DataFrame | None = None, most: int = TRAIN_ROWS) -> DataFrame:
