@@ -17,7 +17,6 @@ MAP_CODES = {f"N{n:02d}": f"C{n:02d}" for n in range(15)}
 WATCHED = ("N02", "N05", "N07", "N11", "N19")
 RAW_STATUSES = tuple(s.capitalize() for s in ORDER_STATUSES)
 RAW_EVENT_TYPES = ("Order_Created", *EVENT_TYPES[1:])
-OLDEST_COHORT_AGE = 79
 
 # Decimal columns per table, given as double in the comparison.
 DECIMALS = {
@@ -103,6 +102,7 @@ MODEL_KEYS |= {
 for _key, _name in MODEL_KEYS.items():
     SQL[_key] = table(_name)
 SQL["fct-02"] = table("fct_orders")
+SQL["fct-02b"] = table("fct_orders")
 
 # ---- sources and sinks ------------------------------------------------------
 
@@ -212,10 +212,10 @@ select node_name, resource_type, status, duration_ms, rows_affected, message
 from audit_runs where invocation_at = (select max(invocation_at) from audit_runs)"""
 SQL["qry-29"] = f"""
 select node_name, resource_type, {average("duration_ms")} as avg_duration_ms, count(*) as runs
-from audit_runs group by 1, 2 order by 3 desc, 1, 2 limit 10"""
+from audit_runs where resource_type in ('model', 'test') group by 1, 2 order by 3 desc, 1, 2 limit 10"""
 SQL["qry-30"] = f"""
 select invocation_at, {tally("status = 'pass'")} as tests_pass, {tally("status = 'warn'")} as tests_warn,
-       {tally("status = 'fail'")} as tests_fail
+       {tally("status in ('fail', 'error')")} as tests_fail
 from audit_runs where resource_type = 'test' group by 1"""
 SQL["qry-31"] = f"""
 select "month", {money("gmv")} as amazon_sales, {money("gmv * 0.12")} as google_ads,
@@ -253,14 +253,11 @@ def _matrix(row: str, column: str, values: dict[str, str], cell: str, source: st
 SQL["shp-01"] = _matrix(
     "category", "region", {r: f"'{r}'" for r in REGION_NAMES}, "return_rate", "category_region_return_rate"
 )
-SQL["shp-02"] = _matrix(
-    "cohort_month",
-    "months_since_acquisition",
-    {f"M{a}": str(a) for a in range(OLDEST_COHORT_AGE + 1)},
-    "retention_pct * 100",
-    "customer_cohort_retention where cohort_month in (select distinct cohort_month from customer_cohort_retention "
-    "order by cohort_month desc limit 12)",
-)
+SQL["shp-02"] = f"""
+select * from (
+    pivot (select cohort_month, 'M' || months_since_acquisition as age, retention_pct * 100 as pct
+           from customer_cohort_retention) on age using {settled("avg(pct)")} group by cohort_month)
+where cohort_month in (select distinct cohort_month from customer_cohort_retention order by cohort_month desc limit 12)"""
 _tenures = ["< 3mo", "3-12mo", "1-2y", "2y+"]
 SQL["shp-03"] = "select region, " + ", ".join(
     f"""{settled(f"coalesce(avg(avg_net_ltv) filter (where tenure_bucket = '{b}'), 0)")} as "{b}" """ for b in _tenures
@@ -445,7 +442,7 @@ select product_id, sku, {money("unit_price")} as unit_price from dim_product whe
 select order_id, {money("total")} as order_total, {money("amount")} as payment_amount, status as payment_status,
        {money("abs(amount - total)")} as delta
 from fct_orders join stg_payments using (order_id)
-where status not in ('failed', 'chargeback') and abs(amount - total) > 0.01""",
+where status in ('captured', 'refunded') and abs(amount - total) > 0.01""",
     "returned_within_policy": """
 select return_id, order_id, delivered_date, return_date, days_to_return from fct_returns where days_to_return > 30""",
 }

@@ -219,7 +219,8 @@ for _raw, _staged in {
 
 TABLES["int_orders_clean"] = """
 select *, order_id in (select order_id from stg_payments) as has_payment from stg_orders
-where status <> 'cancelled' or order_id in (select order_id from stg_payments)"""
+where order_date is not null
+      and not (status = 'cancelled' and order_id not in (select order_id from stg_payments))"""
 
 TABLES["int_returns_classified"] = """
 select stg_returns.*, delivered_date, date_diff('day', delivered_date, return_date) as days_to_return,
@@ -303,7 +304,9 @@ select o.order_id, o.customer_id, c.country as customer_country_code, ship_count
        order_date in (select date_key from stg_dates where is_black_friday) as is_black_friday_order,
        order_date in (select date_key from stg_dates where is_cyber_monday) as is_cyber_monday_order,
        is_prime, timestamp '2001-12-31 00:00:00' as _loaded_at
-from int_orders_clean o left join stg_payments y using (order_id) left join first_category using (order_id)
+from int_orders_clean o
+     left join (select * from stg_payments qualify row_number() over (partition by order_id order by payment_id) = 1) y using (order_id)
+     left join first_category using (order_id)
      left join stg_mkt_customers c using (customer_id)"""
 
 TABLES["fct_order_items"] = """
@@ -326,8 +329,8 @@ from int_returns_classified r left join fct_orders using (order_id)
      left join stg_return_reasons d on reason_code = reason"""
 
 TABLES["fct_reviews"] = """
-select r.*, status as order_status, ship_country, total as order_total, rating < 3 as is_negative_review,
-       rating > 3 as is_positive_review
+select r.*, status as order_status, ship_country, total as order_total, rating <= 2 as is_negative_review,
+       rating >= 4 as is_positive_review
 from stg_reviews r left join int_orders_clean using (order_id)"""
 
 TABLES["fct_shipping_events"] = """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.columns import days_between, hours_crossed, ratio, reshuffled
+from souk.operators.ordered import keep_first
 from souk.operators.staging import Tables
 from souk.params import Params
 
@@ -27,9 +28,10 @@ def primary_category(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def fct_orders(t: Tables, p: Params, newer_than: date | None = None) -> DataFrame:
-    """Order header fact. ``newer_than`` keeps only orders after that date.
+    """Order header fact, one row per order. ``newer_than`` keeps only orders after that date.
 
-    A missing payment counts as an amount mismatch. The joins on order_id come first so
+    Of several payments of an order the one with the smallest payment_id is shown; all of them
+    are in ``fct_payments``. A missing payment counts as an amount mismatch. The joins on order_id come first so
     that they share one partitioning of the orders. With a date given, payments and lines
     are first cut down to the orders concerned.
     """
@@ -39,7 +41,7 @@ def fct_orders(t: Tables, p: Params, newer_than: date | None = None) -> DataFram
         wanted = orders.select("order_id")
         payments = payments.join(wanted, "order_id", "left_semi")
         items = items.join(wanted, "order_id", "left_semi")
-    payments = payments.select(
+    payments = keep_first(payments, ["order_id"], [F.col("payment_id").asc_nulls_last()]).select(
         "order_id",
         F.col("status").alias("payment_status"),
         F.col("amount").alias("payment_amount"),

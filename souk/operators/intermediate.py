@@ -17,38 +17,20 @@ REASON_GROUPS = {
     "customer_driven": ["changed_mind"],
 }
 
-COPIES_PER_BLOCK = 100_000
-
-
-def _repeat(df: DataFrame, times: str) -> DataFrame:
-    """Repeat each row ``times`` times, in blocks so that no large array is ever built."""
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"({times} - 1) div {COPIES_PER_BLOCK}"))
-    left = F.expr(f"least({COPIES_PER_BLOCK}, {times} - _block * {COPIES_PER_BLOCK})")
-    return (
-        df.withColumn("_block", F.explode(blocks))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left)))
-        .drop("_block", "_copy", times)
-    )
-
-
 def int_orders_clean(t: Tables, p: Params) -> DataFrame:
     """Orders with a readable date, without cancelled orders that never saw a payment.
 
-    An order with several payments appears once per payment. Payments are counted per
-    order before the join, which keeps the joined side unique however uneven they are.
-    With no payment an order of unknown status is dropped, with one it is kept.
+    An order is one row, however many payments it has. With no payment an order of unknown
+    status is dropped, with one it is kept.
     """
-    payments = t["stg_payments"].groupBy("order_id").agg(F.count("*").alias("_payments"))
-    cancelled = F.col("status") == "cancelled"
-    orders = (
+    paid = t["stg_payments"].groupBy("order_id").agg(F.lit(True).alias("has_payment"))
+    return (
         t["stg_orders"]
         .where(F.col("order_date").isNotNull())
-        .join(payments, "order_id", "left")
-        .withColumn("has_payment", F.col("_payments").isNotNull())
-        .where(~(cancelled & ~F.col("has_payment")))
-        .withColumn("_payments", F.coalesce("_payments", F.lit(1)))
+        .join(paid, "order_id", "left")
+        .withColumn("has_payment", F.coalesce("has_payment", F.lit(False)))
+        .where(~((F.col("status") == "cancelled") & ~F.col("has_payment")))
     )
-    return _repeat(orders, "_payments")
 
 
 def int_returns_classified(t: Tables, p: Params) -> DataFrame:

@@ -51,9 +51,13 @@ def promotion_attribution(t: Tables, p: Params) -> DataFrame:
     recorded campaign is checked against its own window.
     """
     campaigns = t["stg_promotions"]
+    # Windows are cut to the days orders have, so one without an end has no more days than they.
+    span = t["stg_orders"].agg(F.min("order_date").alias("first"), F.max("order_date").alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    days = F.sequence(F.greatest("starts_at", first), F.least("ends_at", last))
     per_day = (
-        campaigns.where(F.col("starts_at") <= F.col("ends_at"))
-        .select("promotion_id", "starts_at", F.explode(F.sequence("starts_at", "ends_at")).alias("order_date"))
+        campaigns.where((F.col("starts_at") <= F.col("ends_at")) & (F.col("starts_at") <= last) & (F.col("ends_at") >= first))
+        .select("promotion_id", "starts_at", F.explode(days).alias("order_date"))
         .groupBy("order_date")
         .agg(
             F.count("*").alias("active_campaigns"),

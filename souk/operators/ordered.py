@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from souk.session import settle
 
-PLAIN_WINDOW_ROWS = 2_000_000
 SLICE = "_slice"
 
 
@@ -59,18 +58,8 @@ def running_totals(
     )
 
 
-def number_rows(
-    df: DataFrame, by: list[str], order: list[Column], name: str, plain_rows: int = PLAIN_WINDOW_ROWS
-) -> DataFrame:
-    """Add a 1-based position within each group.
-
-    An ordinary window is used while the largest group is small enough for one task's
-    sort; a larger group takes the sliced route, with the same result.
-    """
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= plain_rows:
-        position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return df.withColumn(name, position.cast("bigint"))
+def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add a 1-based position within each group, however large a group is."""
     return running_totals(df, order, {name: F.lit(1).cast("bigint")}, by).drop(f"{name}_total")
 
 

@@ -1,6 +1,6 @@
 """Incremental load of the order fact into a table partitioned by order month.
 
-A run adds the orders dated after the newest one loaded. Usually that only appends files.
+A run adds the orders that are new or have changed. Usually that only appends files.
 If some new row carries an order id the table already holds, the months concerned are
 rewritten without the old rows; all other months stay untouched.
 """
@@ -88,20 +88,33 @@ def upsert(
     return _reopen(spark, path, target, rows)
 
 
+def changed_rows(rows: DataFrame, target: DataFrame, key: str, but: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose key the target does not hold, or holds with other values; columns ``but`` don't count."""
+    shared = [c for c in rows.columns if c in target.columns and c not in (key, *but)]
+    both = [F.struct(*[F.col(c).cast("string") for c in shared])]
+    mark = F.sha2(F.to_json(*both, {"ignoreNullFields": "false"}), 256)
+    held = target.select(F.col(key).alias("_key"), mark.alias("_held"))
+    same = (F.col(key) == F.col("_key")) & (F.col("_mark") == F.col("_held"))
+    return rows.withColumn("_mark", mark).join(held, same, "left_anti").drop("_mark")
+
+
 def load_orders(
     t: Tables, p: Params, spark: SparkSession, path: str, counted: Observation | None = None
 ) -> DataFrame:
-    """One run of the order fact: everything at first, afterwards only newer orders.
+    """One run of the order fact: everything at first, afterwards the orders that are new or changed.
 
-    The newest loaded date is read first, so the filter reaches the scan as a constant.
-    Orders dated on or before it are ignored, unless ``lookback_days`` re-opens some days.
+    Orders may arrive in any order of dates. With ``lookback_days`` only orders dated after the
+    newest loaded one, less those days, are looked at; the newest date is read first, so that the
+    filter reaches the scan as a constant.
     """
     target = read_target(spark, path)
     newest = None
-    if target is not None:
+    if target is not None and p.lookback_days is not None:
         month = target.agg(F.max(MONTH)).first()[0]
         newest = target.where(F.col(MONTH) == F.lit(month)).agg(F.max("order_date")).first()[0]
     if newest is not None:
         newest -= timedelta(days=p.lookback_days)
     rows = fct_orders(t, p, newer_than=newest).withColumn(MONTH, month_of("order_date"))
+    if target is not None and p.lookback_days is None:
+        rows = changed_rows(rows, target, "order_id", but=("_loaded_at", MONTH))
     return upsert(spark, path, rows, "order_id", target, counted)

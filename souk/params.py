@@ -15,14 +15,15 @@ class Params:
 
     ``as_of_date`` stands in for "today" in tenure columns and ``loaded_at`` for the
     load timestamp; leave them unset to take the clock at run time.
-    ``lookback_days`` re-opens that many days before the newest loaded order on an
-    incremental run; 0 ignores late arrivals.
+    An incremental run takes every order that is new or has changed. With ``lookback_days``
+    it takes only orders dated after the newest loaded one, less so many days; 0 is the strict
+    rule that ignores same-day and late arrivals.
     """
 
     as_of_date: date | None = None
     loaded_at: datetime | None = None
     return_window_days: int = 30
-    lookback_days: int = 0
+    lookback_days: int | None = None
     approx_median: bool = False
 
     def today(self) -> Column:

@@ -92,7 +92,7 @@ def _build_model(warehouse: Warehouse, run: Run, name: str) -> None:
         run.record("model", name, began, "skipped", str(e))
         warehouse.withhold(name)
     except Exception as e:  # a failing model must not stop unrelated ones
-        run.record("model", name, began, "error", str(e)[:2000])
+        run.record("model", name, began, "error", str(e))
         warehouse.withhold(name)
     else:
         run.record("model", name, began, "success", rows=warehouse.rows.get(name, 0))
@@ -104,19 +104,28 @@ def run_pipeline(
     log: AuditLog,
     run_id: str | None = None,
     threads: int = 8,
+    rejects: DataFrame | None = None,
 ) -> DataFrame:
     """Build all models and return this run's log rows.
 
     A model that fails, or whose error-level checks fail, is withheld: models that need it
     are skipped and everything else is still built. Models of a wave are submitted side by
-    side, so that small tables fill the gaps large ones leave on the cluster.
+    side, so that small tables fill the gaps large ones leave on the cluster. ``rejects`` are
+    malformed lines (table, line): they are written to ``rejects`` below the warehouse and logged
+    as warnings.
     """
     log.ensure()
     run = Run(run_id or str(uuid.uuid4()), os.environ.get("GIT_SHA", "unknown"))
+    if rejects is not None:
+        began = _now()
+        rejects.write.mode("overwrite").parquet(f"{warehouse.root}/rejects")
+        for r in warehouse.spark.read.schema(rejects.schema).parquet(f"{warehouse.root}/rejects").groupBy("table").count().collect():
+            run.record("test", f"readable_raw_{r['table']}", began, "warn", f"{r['count']} malformed lines", r["count"])
     _run_checks(warehouse, run, [c for c in checks if c.table.startswith("raw_")])
     with ThreadPoolExecutor(threads) as pool:
         for wave in WAVES:
             list(pool.map(lambda name: _build_model(warehouse, run, name), wave))
             _run_checks(warehouse, run, [c for c in checks if c.table in wave])
+    warehouse.describe()
     log.append(run.rows)
     return log.read().where(f"run_id = '{run.id}'")

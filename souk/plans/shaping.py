@@ -21,15 +21,13 @@ def return_rate_matrix(t: Tables, regions: list[str] | None = None) -> DataFrame
     )
 
 
-def cohort_matrix(t: Tables, cohorts: int = 12, oldest: int | None = None) -> DataFrame:
+def cohort_matrix(t: Tables, cohorts: int = 12) -> DataFrame:
     """Retention in percent of the latest cohorts, one column per month since acquisition.
 
-    The columns run to the highest age of any cohort, or to ``oldest`` if given.
+    There is a column for every age any cohort of the mart has, at most one per month.
     """
     mart = t["customer_cohort_retention"]
-    if oldest is None:
-        oldest = mart.agg(F.max("months_since_acquisition")).first()[0]
-    ages = list(range((oldest if oldest is not None else -1) + 1))
+    ages = sorted(r[0] for r in mart.select("months_since_acquisition").distinct().collect())
     latest = mart.select("cohort_month").distinct().orderBy(F.desc("cohort_month")).limit(cohorts)
     wide = (
         mart.join(latest, "cohort_month", "left_semi")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import threading
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 from souk.functions.columns import month_of
 from souk.operators import dimensions, facts, intermediate, marts, staging
@@ -16,6 +18,9 @@ from souk.params import Params
 from souk.session import workspace
 from souk.sources.sinks import register_view, table_path, write_table
 
+#: Table of schemas and settings below a warehouse, and the name of the settings in it.
+ABOUT, SETTINGS = "about", "settings"
+
 
 @dataclass(frozen=True)
 class Model:
@@ -154,6 +159,13 @@ class Warehouse(Mapping):
         self.rows[name] = counted.get["n"]
         return table
 
+    def describe(self) -> None:
+        """Write the schemas of the stored tables and the settings they were built with, for ``StoredTables``."""
+        kept = [(n, t.schema.json()) for n, t in self._tables.items() if n in CATALOG and CATALOG[n].stored]
+        settings = json.dumps({k: v for k, v in asdict(self.params).items() if isinstance(v, (int, bool))})
+        about = self.spark.createDataFrame([*kept, (SETTINGS, settings)], "name string, value string")
+        about.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{ABOUT}")
+
     def __iter__(self) -> Iterator[str]:
         return iter(CATALOG)
 
@@ -162,21 +174,36 @@ class Warehouse(Mapping):
 
 
 class StoredTables(Mapping):
-    """The tables an earlier build left at ``root``, read only. Views are computed on reading."""
+    """The tables an earlier build left at ``root``, read only. Views are computed on reading.
+
+    Schemas and settings come from what the build wrote down, in one read at the start, and
+    frames are kept, so asking for a table opens no file.
+    """
 
     def __init__(
         self, spark: SparkSession, root: str, extra: Mapping[str, Callable[[], DataFrame]] | None = None
     ):
         self.spark, self.root, self._extra = spark, root, dict(extra or {})
+        self._tables: dict[str, DataFrame] = {}
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Read again what the last build wrote down."""
+        about = {r["name"]: r["value"] for r in self.spark.read.parquet(f"{self.root}/{ABOUT}").collect()}
+        self.params = Params(**json.loads(about.pop(SETTINGS)))
+        self._schemas = {name: StructType.fromJson(json.loads(schema)) for name, schema in about.items()}
+        self._tables.clear()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._extra:
             return self._extra[name]()
         model = CATALOG[name]
         if not model.stored:
-            return model.build(self, Params())
-        reader = self.spark.read.option("mergeSchema", model.kept == "incremental")
-        return reader.parquet(table_path(self.root, model.layer, name))
+            return model.build(self, self.params)
+        if name not in self._tables:
+            reader = self.spark.read.schema(self._schemas[name])
+            self._tables[name] = reader.parquet(table_path(self.root, model.layer, name))
+        return self._tables[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(CATALOG)

@@ -39,7 +39,9 @@ def workspace(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="souk-"))
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="souk-")
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/souk/{app}"
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 # The column layout of the raw files.
@@ -38,18 +39,51 @@ def raw_schema(name: str) -> StructType:
 CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "quote": '"', "escape": '"'}
 
 
-def read_raw(spark: SparkSession, folder: str, name: str, multi_line: bool = False) -> DataFrame:
-    """One raw table as text, from a CSV file or a folder of them.
+# Tables whose free text may hold line breaks. A file of these is read by one task, so large ones
+# should come in many files.
+MULTI_LINE = ("reviews", "customers", "sellers", "products", "promotions")
 
-    Line breaks inside quoted fields need ``multi_line``; a file is then read by one task,
-    so large tables should come in many files.
-    """
-    reader = spark.read.schema(raw_schema(name)).options(**CSV_OPTIONS).option("multiLine", multi_line)
+#: Holds a line that has another number of fields than its table, or cannot be read at all.
+CORRUPT = "_corrupt_record"
+
+
+def _with_corrupt(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(CORRUPT, StringType())])
+
+
+def _read_lines(spark: SparkSession, folder: str, name: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.schema(_with_corrupt(raw_schema(name))).options(**CSV_OPTIONS)
+    reader = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     return reader.csv(f"{folder}/{name}.csv")
 
 
-def csv_source(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
-    return lambda name: read_raw(spark, folder, name)
+def read_raw(spark: SparkSession, folder: str, name: str, multi_line: bool | None = None) -> DataFrame:
+    """One raw table as text, from a CSV file or a folder of them, without malformed lines.
+
+    ``multi_line`` says whether quoted fields may hold line breaks; by default those of the tables
+    in ``MULTI_LINE`` may. ``read_rejects`` has the malformed lines.
+    """
+    multi_line = name in MULTI_LINE if multi_line is None else multi_line
+    lines = _read_lines(spark, folder, name, multi_line)
+    return lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def read_rejects(spark: SparkSession, folder: str, multi_line: Collection[str] = MULTI_LINE) -> DataFrame:
+    """(table, line): the malformed lines of all raw tables, whole."""
+    found = None
+    for name in RAW_COLUMNS:
+        lines = _read_lines(spark, folder, name, name in multi_line).where(F.col(CORRUPT).isNotNull())
+        # Spark wants a query to ask for more than the malformed line.
+        line = F.coalesce(CORRUPT, RAW_COLUMNS[name].split()[0])
+        part = lines.select(F.lit(name).alias("table"), line.alias("line"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def csv_source(
+    spark: SparkSession, folder: str, multi_line: Collection[str] = MULTI_LINE
+) -> Callable[[str], DataFrame]:
+    return lambda name: read_raw(spark, folder, name, name in multi_line)
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from souk.operators.intermediate import int_orders_clean
 from souk.operators.upsert import load_orders
 from souk.params import Params
 from souk.plans.warehouse import Warehouse
 from souk.session import settle
-from souk.sources.raw import CSV_OPTIONS, raw_schema
+from souk.sources.raw import CORRUPT, CSV_OPTIONS, raw_schema
 
 
 def ingest_orders(
@@ -26,16 +29,23 @@ def ingest_orders(
 ) -> StreamingQuery:
     """Load new order files from ``inbox`` into the order fact at ``target``, then stop.
 
-    Spark's checkpoint remembers which files were read. A batch that is replayed after a
-    failure finds its orders already loaded and adds nothing twice. ``raw`` serves the
-    other raw tables.
+    Spark's checkpoint remembers which files were read. Orders are added by their id whatever
+    their date, so late, same-day and far-future ones are all loaded, and a batch that is
+    replayed after a failure adds nothing twice. Malformed lines are written beside the target,
+    to ``<target>_rejects``. ``raw`` serves the other raw tables.
     """
-    params = params or Params()
-    arrivals = spark.readStream.schema(raw_schema("orders")).options(**CSV_OPTIONS).csv(inbox)
+    params = replace(params or Params(), lookback_days=None)
+    lines = StructType([*raw_schema("orders").fields, StructField(CORRUPT, StringType())])
+    reader = spark.readStream.schema(lines).options(**CSV_OPTIONS).option("columnNameOfCorruptRecord", CORRUPT)
+    arrivals = reader.csv(inbox)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch = settle(batch, "arrivals")
+        lines = settle(batch, "arrivals")
+        malformed = lines.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+        # One folder per batch, so that a replayed batch reports its lines once.
+        malformed.write.mode("overwrite").parquet(f"{target}_rejects/batch={batch_id}")
+        batch = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
         plans = Warehouse(session, lambda name: batch if name == "orders" else raw(name), params, stored=False)
         wanted = batch.select("order_id").distinct()
         # Payments and lines are cut down to the batch before anything is shuffled by order.

@@ -104,9 +104,51 @@ def test_command_line_builds_twice(spark, tmp_path):
     folder(tmp_path, orders=more, dates=dates)
     assert main([raw_dir, out]) == 0
     tables = StoredTables(spark, out, {"audit_runs": AuditLog(spark, f"{out}/audit/runs").read})
-    # The second run adds the newer order and ignores the one that arrived late.
-    assert values(tables["fct_orders"], "order_id") == [("o1",), ("o3",)]
+    # The second run adds the newer order and the one that arrived late.
+    assert values(tables["fct_orders"], "order_id") == [("o1",), ("o3",), ("o4",)]
     assert values(kpis.pipeline_runs(tables), "overall_status", "nodes_total") == [("green", 131)] * 2
-    assert kpis.kpi_overview(tables).first()["orders_total"] == 2
-    assert main([raw_dir, out, "--full-refresh"]) == 0
+    assert kpis.kpi_overview(tables).first()["orders_total"] == 3
+    assert main([raw_dir, out, "--full-refresh", "--return-window", "5"]) == 0
+    tables.refresh()
     assert values(tables["fct_orders"], "order_id") == [("o1",), ("o3",), ("o4",)]
+    # Settings come back with the tables: returned on the 11th day, allowed until the 5th.
+    assert values(tables["int_returns_classified"], "is_within_policy") == [(False,)]
+
+
+def test_strict_command_line_ignores_late_orders(spark, tmp_path):
+    raw_dir, out = folder(tmp_path), str(tmp_path / "out")
+    assert main([raw_dir, out]) == 0
+    more = [*CELLS["orders"], "o3,c1,2024-03-01,shipped,2024-03-02,,US,K1,Kay,,1,9,1,10", "o4,c1,2024-01-01,shipped,,,US,,,,1,9,1,10"]
+    folder(tmp_path, orders=more, dates=[*CELLS["dates"], "2024-03-01,2024,3,1,Friday,Q1,false,false,false,false,false"])
+    assert main([raw_dir, out, "--lookback", "0"]) == 0
+    assert values(StoredTables(spark, out)["fct_orders"], "order_id") == [("o1",), ("o3",)]
+
+
+def test_line_breaks_and_malformed_lines(spark, tmp_path):
+    """A quoted line break stays in its field; a field too many or too few is reported with its line."""
+    out = str(tmp_path / "out")
+    raw_dir = folder(
+        tmp_path,
+        reviews=['v1,o1,c1,5,"a ""t""","one\ntwo, three",2024-01-21,true'],
+        payments=[*CELLS["payments"], "y2,o1,pix,captured,10,usd,2024-01-05 01:00:00,surplus", "y3,o1,pix"],
+    )
+    assert main([raw_dir, out]) == 0
+    tables = StoredTables(spark, out, {"audit_runs": AuditLog(spark, f"{out}/audit/runs").read})
+    assert values(tables["stg_reviews"], "title", "body") == [('a "t"', "one\ntwo, three")]
+    assert values(tables["stg_payments"], "payment_id") == [("y1",)]
+    assert values(spark.read.parquet(f"{out}/rejects"), "table", "line") == [
+        ("payments", "y2,o1,pix,captured,10,usd,2024-01-05 01:00:00,surplus"),
+        ("payments", "y3,o1,pix"),
+    ]
+    warned = tables["audit_runs"].where("status = 'warn'")
+    assert values(warned, "node_name", "rows_affected") == [("readable_raw_payments", 2)]
+
+
+def test_stored_tables_plan_without_jobs(spark, tmp_path):
+    raw_dir, out = folder(tmp_path), str(tmp_path / "out")
+    assert main([raw_dir, out]) == 0
+    tables = StoredTables(spark, out, {"audit_runs": AuditLog(spark, f"{out}/audit/runs").read})
+    spark.sparkContext.setJobGroup("plans", "plans")
+    for plan in (kpis.kpi_overview, kpis.kpi_30day_summary, kpis.gmv_by_day, kpis.gmv_by_month, kpis.top_sellers):
+        plan(tables)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plans")) == []

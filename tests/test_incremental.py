@@ -17,8 +17,35 @@ def load(spark, path, orders, params=P, payments=()):
     return u.load_orders(t, params, spark, path)
 
 
-def test_second_run_adds_only_newer_orders(spark, tmp_path):
+def test_second_run_takes_what_is_new_or_changed(spark, tmp_path):
     path = str(tmp_path / "orders")
+    load(spark, path, [order("a", day=date(2024, 1, 5)), order("b", day=date(2024, 2, 10)), order("z", day=date(2099, 1, 1))])
+    second = [
+        order("a", day=date(2024, 1, 5)),
+        order("b", day=date(2024, 2, 10), total="7"),
+        order("same-day", day=date(2024, 2, 10)),
+        order("late", day=date(2023, 12, 1)),
+        order("later", day=date(2024, 3, 1)),
+    ]
+    want = [("a", "10.00"), ("b", "7.00"), ("late", "10.00"), ("later", "10.00"), ("same-day", "10.00"), ("z", "10.00")]
+    for _ in range(2):
+        got = load(spark, path, second)
+        assert [(o, str(v)) for o, v in values(got, "order_id", "total")] == want
+
+
+def test_unchanged_orders_are_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    orders = [order("a", day=date(2024, 1, 5)), order("b", day=date(2024, 2, 10), ship_date=None)]
+    load(spark, path, orders)
+    before = set(glob.glob(f"{path}/*/*.parquet"))
+    later = Params(as_of_date=P.as_of_date, loaded_at=datetime(2030, 1, 1))
+    load(spark, path, orders, later)
+    assert set(glob.glob(f"{path}/*/*.parquet")) == before
+
+
+def test_strict_run_adds_only_newer_orders(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    strict = Params(as_of_date=P.as_of_date, loaded_at=P.loaded_at, lookback_days=0)
     first = [order("a", day=date(2024, 1, 5)), order("b", day=date(2024, 2, 10))]
     assert values(load(spark, path, first), "order_id") == [("a",), ("b",)]
     second = [
@@ -28,9 +55,9 @@ def test_second_run_adds_only_newer_orders(spark, tmp_path):
         order("c", day=date(2024, 2, 11)),
         order("d", day=date(2024, 3, 1)),
     ]
-    assert values(load(spark, path, second), "order_id") == [("a",), ("b",), ("c",), ("d",)]
+    assert values(load(spark, path, second, strict), "order_id") == [("a",), ("b",), ("c",), ("d",)]
     # Running again changes nothing.
-    assert values(load(spark, path, second), "order_id") == [("a",), ("b",), ("c",), ("d",)]
+    assert values(load(spark, path, second, strict), "order_id") == [("a",), ("b",), ("c",), ("d",)]
 
 
 def test_lookback_reopens_days_without_duplicates(spark, tmp_path):
@@ -106,3 +133,10 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     (inbox / "2.csv").write_text(header + "b,c,06/02/2024,shipped,,,US,,,,1,1,0,1\n")
     assert run() == [("a", date(2024, 1, 5)), ("b", date(2024, 2, 6))]
     assert run() == [("a", date(2024, 1, 5)), ("b", date(2024, 2, 6))]
+    row = "{},c,{},shipped,,,US,,,,1,1,0,1\n"
+    days = {"future": "2099-12-31", "same": "2024-02-06", "earlier": "2024-01-01", "later": "2024-03-01"}
+    (inbox / "3.csv").write_text(header + row.format("future", days["future"]))
+    run()
+    (inbox / "4.csv").write_text(header + "".join(row.format(o, d) for o, d in days.items()))
+    want = {"a": date(2024, 1, 5), "b": date(2024, 2, 6)} | {o: date.fromisoformat(d) for o, d in days.items()}
+    assert run() == sorted(want.items())

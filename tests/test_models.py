@@ -27,7 +27,7 @@ def order(order_id, status="delivered", day=date(2024, 1, 1), customer="c1", tot
     return tuple((row | more).values())
 
 
-def test_clean_orders_rules_and_payment_fan_out(spark):
+def test_clean_orders_rules_and_several_payments(spark):
     t = {
         "stg_orders": frame(
             spark,
@@ -52,18 +52,10 @@ def test_clean_orders_rules_and_payment_fan_out(spark):
         ("null-paid", True),
         ("paid", True),
         ("twice", True),
-        ("twice", True),
         ("unpaid", False),
     ]
 
 
-def test_repeat_blocks(spark, monkeypatch):
-    monkeypatch.setattr(intermediate, "COPIES_PER_BLOCK", 10)
-    df = frame(spark, "id int, n bigint", (1, 1), (2, 10), (3, 25), (4, 11))
-    counts = intermediate._repeat(df, "n").groupBy("id").count()
-    assert values(counts) == [(1, 1), (2, 10), (3, 25), (4, 11)]
-
-
 def test_returns_policy_edges_and_reasons(spark):
     day = date(2024, 3, 1)
     returns = [("r-1", date(2024, 2, 29)), ("r0", day), ("r30", date(2024, 3, 31)), ("r31", date(2024, 4, 1))]
@@ -142,9 +134,26 @@ def test_order_fact(spark):
     assert df.first()["_loaded_at"] == datetime(2024, 12, 31)
 
 
-def test_two_payments_multiply_as_two_joins_would(spark):
-    t = fact_inputs(spark, [order("a")], [(f"p{n}", "a", "pix", "captured", D("10")) for n in range(3)])
-    assert facts.fct_orders(t, P).count() == 9
+def test_several_payments_and_returns_of_an_order(spark):
+    """k payments are k rows of the payment fact and one order; a return is one row."""
+    paid = [(f"p{n}", "a", f"method{n}", "captured", D("10") + n) for n in (4, 2, 3)]
+    t = fact_inputs(spark, [order("a"), order("b")], [*paid, ("p9", "b", "pix", "captured", D("10"))])
+    assert values(t["int_orders_clean"], "order_id", "has_payment") == [("a", True), ("b", True)]
+    assert values(facts.fct_orders(t, P), "order_id", "payment_method") == [("a", "method2"), ("b", "pix")]
+    t["stg_payments"] = t["stg_payments"].selectExpr("*", "'USD' as currency", "null as paid_at")
+    assert values(facts.fct_payments(t, P), "payment_id", "order_id") == [("p2", "a"), ("p3", "a"), ("p4", "a"), ("p9", "b")]
+    t["stg_returns"] = frame(
+        spark,
+        "return_id string, order_id string, return_date date, reason string, refund_amount decimal(12,2), "
+        "category_primary string, ship_region string, processed boolean",
+        ("r1", "a", date(2024, 1, 9), "damaged", D("5"), "Books", "EU", True),
+        ("r2", "a", date(2024, 1, 9), "damaged", D("5"), "Books", "EU", True),
+    )
+    t["int_returns_classified"] = intermediate.int_returns_classified(t, P)
+    t["fct_orders"] = facts.fct_orders(t, P)
+    reasons = "reason_code string, reason_label string, reason_category string, is_actionable_by_seller boolean"
+    t["stg_return_reasons"] = frame(spark, reasons, ("damaged", "Damaged", "product_issue", True))
+    assert values(facts.fct_returns(t, P), "return_id", "payment_method") == [("r1", "method2"), ("r2", "method2")]
 
 
 def test_payment_and_review_facts_keep_orphans(spark):
