@@ -34,7 +34,8 @@ STRIDE = 4
 EMBED = 8
 LAGS = np.array([2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20])
 FILTERS = 32
-EPOCHS = 8
+#: Steps of training and rows of a step; a small sample is gone through more often.
+STEPS = 600
 BATCH = 32
 RATE = 0.01
 
@@ -134,7 +135,7 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Networ
     balance = np.sqrt(len(labels) / (2 * np.maximum(counts, 1)))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (*net.parameters(), np.zeros(1))]
     step = 0
-    for epoch in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
@@ -162,7 +163,7 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Networ
             np.add.at(d_embed, bytes_at.ravel(), d_inputs.reshape(-1, EMBED))
             grads = [d_embed, d_filters, grad.sum(0), features.T @ error + 1e-4 * net.weights, np.array([error.sum()])]
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS) + 0.0005
+            rate = RATE * max(0.05, 1 - step / STEPS)
             moved = []
             for g, (m, v) in zip(grads, moments):
                 m *= 0.9
