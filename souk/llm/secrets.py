@@ -47,14 +47,14 @@ def _spans(kind: str, pattern: str, keep: Column | None = None) -> Column:
 
     def step(seen: Column, pair: Column) -> Column:
         begin = seen["at"] + F.length(pair["piece"])
-        end = begin + F.length(pair["m"])
+        # The piece after the last match has no match beside it.
+        end = begin + F.coalesce(F.length(pair["m"]), F.lit(0))
         span = F.struct(begin.alias("begin"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        kept = keep(pair["m"]) if keep else F.lit(True)
+        kept = pair["m"].isNotNull() & (keep(pair["m"]) if keep else F.lit(True))
         return F.struct(end.alias("at"), F.when(kept, F.concat(seen["out"], F.array(span))).otherwise(seen["out"]).alias("out"))
 
     empty = F.array().cast("array<struct<begin:int,rank:int,kind:string,end:int>>")
-    # The piece after the last match has no partner and is left out.
-    pairs = F.transform(matches, lambda m, i: F.struct(F.get(pieces, i).alias("piece"), m.alias("m")))
+    pairs = F.zip_with(pieces, matches, lambda piece, m: F.struct(piece.alias("piece"), m.alias("m")))
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda seen: seen["out"])
     return F.when(F.regexp_like("t", F.lit(pattern)), found).otherwise(empty)
 
@@ -72,20 +72,17 @@ def known_spans() -> dict[str, Column]:
 
 def _pairs(string: Column) -> Column:
     """Places of the adjacent character pairs of an identifier in the model."""
-    letters = F.split(string, "")
-    codes = F.transform(letters, lambda c: F.ascii(c) - FIRST)
-    # The last character begins no pair; split leaves no empty ends.
-    return F.transform(
-        F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))),
-        lambda c, i: c * SYMBOLS + F.get(codes, i + 1),
-    )
+    codes = F.transform(F.split(string, ""), lambda c: F.ascii(c) - FIRST)
+    pairs = F.zip_with(codes, F.slice(codes, 2, F.length(string)), lambda a, b: a * SYMBOLS + b)
+    # The last character begins no pair.
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def training_strings(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(secret, string): labelled strings of at most ``most`` rows, picked by a hash of the text.
 
-    Secret are the values the known patterns mark; all other identifiers of four letters or more
-    in these rows are not.
+    Secret are the values the known patterns mark. Ordinary are the other identifiers of four
+    letters or more that stand in at least two of these rows. Each string is given once.
     """
     marked = f"{ASSIGN}|({ACCESS[:-1]}{{{ACCESS_LEAST - 4},}})|({HEX[:-1]}{{{HEX_LEAST},}})"
     texts = docs.select(whole_text().alias("t")).withColumns(
@@ -104,8 +101,10 @@ def training_strings(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     secret = rows.where("has").select(F.explode(F.concat(*values)).alias("string"))
     secret = secret.where(F.length("string") >= ASSIGN_LEAST).select(F.lit(True).alias("secret"), "string")
     rest = F.regexp_replace("t", marked, " ")
-    plain = rows.select(F.explode(F.regexp_extract_all(rest, F.lit(f"{IDENTIFIER}{{4,}}"), F.lit(0))).alias("string"))
-    return secret.unionByName(plain.select(F.lit(False).alias("secret"), "string"))
+    plain = rows.select("order", F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(f"{IDENTIFIER}{{4,}}"), F.lit(0)))).alias("string"))
+    # A random string stands in one row; what stands in two is part of a vocabulary.
+    plain = plain.groupBy("string").agg(F.count("*").alias("n")).where("n > 1")
+    return secret.distinct().unionByName(plain.select(F.lit(False).alias("secret"), "string"))
 
 
 def pair_ratios(strings: DataFrame) -> list[float]:
@@ -113,9 +112,10 @@ def pair_ratios(strings: DataFrame) -> list[float]:
 
     A pair is smoothed towards the frequency of its second character, and that by a half towards
     an even one, so a character an ordinary identifier hardly has speaks for a random string even
-    after one that was never seen there. A label without strings leaves even frequencies.
+    after one that was never seen there. A string counts a pair once, so that no long string
+    outweighs the others. A label without strings leaves even frequencies.
     """
-    counted = strings.select("secret", F.explode(_pairs(F.col("string"))).alias("pair")).groupBy("secret", "pair").count()
+    counted = strings.select("secret", F.explode(F.array_distinct(_pairs(F.col("string")))).alias("pair")).groupBy("secret", "pair").count()
     counts = {True: [0] * SYMBOLS**2, False: [0] * SYMBOLS**2}
     for r in counted.where(F.col("pair").between(0, SYMBOLS**2 - 1)).collect():
         counts[r["secret"]][r["pair"]] = r["count"]
@@ -143,7 +143,9 @@ def with_secrets(docs: DataFrame, sample: DataFrame | None = None, most: int = T
 
     def random(m: Column) -> Column:
         score = F.aggregate(_pairs(m), F.lit(0.0), lambda sum_, p: sum_ + F.get(model, p))
-        return (score >= TOTAL) & (score >= MEAN * (F.length(m) - 1))
+        # Digits alone are a number and capitals alone a word in capitals, whatever their order.
+        plain = F.regexp_like(m, F.lit("^(?:[0-9+/_=-]+|[A-Z+/_=-]+)$"))
+        return ~plain & (score >= TOTAL) & (score >= MEAN * (F.length(m) - 1))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("t"))
     spans = texts.withColumns(known_spans() | {"markov": _spans("markov", f"{IDENTIFIER}{{{LEAST},}}", random)})
