@@ -118,16 +118,20 @@ def _ssn(m: re.Match, cipher: Cipher, back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def _north_american(digits: str, cipher: Cipher, back: bool) -> str:
+    # Area and exchange begin with 2 to 9.
+    value = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
+    value, line = divmod(cipher.permute(value, 800 * 800 * 10_000, "phone", back), 10_000)
+    area, exchange = divmod(value, 800)
+    return f"{area + 200}{exchange + 200}{line:04d}"
+
+
 def _phone(m: re.Match, cipher: Cipher, back: bool) -> str | None:
     digits = re.sub(r"\D", "", m["number"])
     if m["plus"] == "+1" or not m["plus"]:
-        # North American numbers: area and exchange begin with 2 to 9.
-        if len(digits) != 10 or digits[0] in "01" or digits[3] in "01":
+        if not _american(digits):
             return None
-        value = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
-        value, line = divmod(cipher.permute(value, 800 * 800 * 10_000, "phone", back), 10_000)
-        area, exchange = divmod(value, 800)
-        found = f"{area + 200}{exchange + 200}{line:04d}"
+        found = _north_american(digits, cipher, back)
     else:
         if not 6 <= len(digits) <= 14:
             return None
@@ -180,48 +184,111 @@ def _mail(m: re.Match, cipher: Cipher, back: bool) -> str | None:
     return _fill(m["name"], _mixed(name, cipher, "mail", back)) + "@" + m["host"]
 
 
+def _american(digits: str) -> bool:
+    return len(digits) == 10 and digits[0] not in "01" and digits[3] not in "01"
+
+
+def _bare(m: re.Match, cipher: Cipher, back: bool) -> str | None:
+    # The first digit stays: country codes have none that sets them apart from what follows, but +1.
+    first, digits = m["bare"][1], m["bare"][2:]
+    if first == "0":
+        return None
+    if first == "1" and _american(digits):
+        return "+1" + _north_american(digits, cipher, back)
+    while True:
+        digits = f"{cipher.permute(int(digits), 10 ** len(digits), 'phone+' + first, back):0{len(digits)}d}"
+        # What is no North American number stays none, so that it is read back as such.
+        if first != "1" or not _american(digits):
+            return f"+{first}{digits}"
+
+
 _FORMS: dict[str, Callable[[re.Match, Cipher, bool], str | None]] = {
     "card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "mail": _mail,
+    "bare": _bare,
 }
-
-#: One pass over a text: the first form that fits at the leftmost place is tried.
-_NUMBERS = re.compile(
-    r"""
-    (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-    |(?<![\w.+-])(?:
-      (?P<date>(?P<d1>[0-9]{4}|[0-9]{2})(?P<sep>[-/.])(?P<d2>[0-9]{2})(?P=sep)(?P<d3>[0-9]{4}|[0-9]{2})(?![\w-]|[./][0-9]))
-      |(?P<ssn>(?P<area>[0-9]{3})-(?P<group>[0-9]{2})-(?P<serial>[0-9]{4})(?![\w-]))
-      |(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9]))
-      |(?P<card>[0-9](?:[\ -]?[0-9]){12,18}(?![\w-]))
-      |(?P<phone>(?P<plus>\+[0-9]{1,3})?(?P<number>\ ?(?:\([0-9]{3}\)\ ?|[0-9]{2,4}[-.\ ])[0-9]{3,4}[-.\ ]?[0-9]{3,4})(?![\w-]))
+#: Lengths of account numbers by country, from the registry of the standard.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        entry.split(":")
+        for entry in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+            "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV "
+            "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 33:RU 32:LC"
+        ).split()
     )
-    """,
-    re.VERBOSE,
-)
+    for country in countries.split(",")
+}
+
+_START = r"(?<![\w.+-])"
+_PATTERNS = {
+    "iban": r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))",
+    "date": _START + r"(?P<date>(?P<d1>[0-9]{4}|[0-9]{2})(?P<sep>[-/.])(?P<d2>[0-9]{2})(?P=sep)(?P<d3>[0-9]{4}|[0-9]{2})(?![\w-]|[./][0-9]))",
+    "ssn": _START + r"(?P<ssn>(?P<area>[0-9]{3})-(?P<group>[0-9]{2})-(?P<serial>[0-9]{4})(?![\w-]))",
+    "ip": _START + r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9]))",
+    "card": _START + r"(?P<card>[0-9](?:[\ -]?[0-9]){12,18}(?![\w-]))",
+    "phone": _START
+    + r"(?P<phone>(?P<plus>\+[0-9]{1,3})?(?P<number>\ ?(?:\([0-9]{3}\)\ ?|[0-9]{2,4}[-.\ ])[0-9]{3,4}[-.\ ]?[0-9]{3,4})(?![\w-]))",
+    "bare": _START + r"(?P<bare>\+[0-9]{8,15}(?![\w-]))",
+}
+#: One pass over a text: at the leftmost place where a form fits, the first that passes its check is taken.
+_NUMBERS = re.compile("|".join(_PATTERNS.values()))
+_EACH = {kind: re.compile(pattern) for kind, pattern in _PATTERNS.items()}
 _MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<mail>(?P<name>[A-Za-z0-9._%+-]+)@(?P<host>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))")
 _HAS_NUMBER = re.compile(r"[0-9][0-9]")
 
 
+def _readings(part: str, m: re.Match) -> Iterator[tuple[str, re.Match]]:
+    """The forms that fit where ``m`` begins: each kind, the longest first, then shorter ones that end at a separator."""
+    for kind, form in _EACH.items():
+        found = form.match(part, m.start())
+        if not found:
+            continue
+        ends = []
+        if kind in ("card", "iban"):
+            ends = [e for e in range(found.end() - 1, found.start() + 12, -1) if part[e] in " -" and part[e - 1] not in " -"]
+        tried = [found, *filter(None, (form.match(part, m.start(), e) for e in ends))]
+        if kind == "iban" and (length := IBAN_LENGTHS.get(found[0][:2])):
+            # The country's length comes first, and nothing shorter than the whole is of another one.
+            right = [t for t in tried if len(t[0].replace(" ", "")) == length]
+            tried = [*right, *([] if found in right else [found])]
+        yield from ((kind, t) for t in tried)
+
+
 def pseudonymised(text: str | None, cipher: Cipher, back: bool = False) -> tuple[str, Counter]:
     """The text with every valid value replaced, and how many of each kind there were."""
     counts: Counter = Counter()
 
-    def replace(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m.groupdict().get(k))
-        new = _FORMS[kind](m, cipher, back)
-        counts[kind] += new is not None
-        return m[0] if new is None else new
+    def numbers(part: str) -> str:
+        out, at, done = [], 0, 0
+        while m := _NUMBERS.search(part, at):
+            new = None
+            for kind, tried in _readings(part, m):
+                new = _FORMS[kind](tried, cipher, back)
+                if new is not None:
+                    break
+            if new is None:
+                # Nothing fits from here on: later values may begin inside.
+                at = m.start() + 1
+                continue
+            counts["phone" if kind == "bare" else kind] += 1
+            out += [part[done : m.start()], new]
+            at = done = tried.end()
+        return "".join([*out, part[done:]])
 
     text = text or ""
     if "@" in text:
         # Mail addresses first, each left out of the search for numbers.
         out, at = [], 0
         for m in _MAIL.finditer(text):
-            out += [_NUMBERS.sub(replace, text[at : m.start()]), replace(m)]
+            new = _mail(m, cipher, back)
+            counts["mail"] += new is not None
+            out += [numbers(text[at : m.start()]), m[0] if new is None else new]
             at = m.end()
-        return "".join([*out, _NUMBERS.sub(replace, text[at:])]), counts
+        return "".join([*out, numbers(text[at:])]), counts
     if _HAS_NUMBER.search(text):
-        text = _NUMBERS.sub(replace, text)
+        text = numbers(text)
     return text, counts
 
 

@@ -65,3 +65,33 @@ def test_documents(spark):
         want.append((doc, new, *[counts[k] for k in p.KINDS]))
     assert rows_of(found, "doc_id", "text", *[f"n_{k}" for k in p.KINDS]) == sorted(want, key=str)
     assert p.pseudonymise(documents(spark, rows).where("false"), "k").collect() == []
+
+
+@pytest.mark.parametrize(
+    "kind, value, after",
+    [
+        ("card", "4111111111111111", " 123"),
+        ("card", "4111 1111 1111 1111", " 12/27"),
+        ("card", "4111111111111111", " 99 items"),
+        ("iban", "DE89370400440532013000", " BIC COBADEFF"),
+        ("iban", "DE89 3704 0044 0532 0130 00", " EUR"),
+        ("iban", "GB82WEST12345698765432", " 12 units"),
+        ("phone", "579-555-6331", " 12345"),
+        ("phone", "+15551234567", ""),
+        ("phone", "+15795556331", " 7"),
+        ("phone", "+442079460958", " EUR"),
+    ],
+)
+def test_valid_values_before_other_digits_and_capitals(kind, value, after):
+    new, counts = p.pseudonymised(f"x {value}{after}.", CIPHER)
+    alone, _ = p.pseudonymised(value, CIPHER)
+    assert dict(+counts) == {kind: 1} and alone != value
+    assert new == f"x {alone}{after}."
+    assert p.pseudonymised(alone, CIPHER, back=True)[0] == value
+
+
+def test_the_rest_of_a_failed_match_is_searched():
+    text = "1234 4111111111111111 and 99 DE89370400440532013000 AB"
+    new, counts = p.pseudonymised(text, CIPHER)
+    assert dict(+counts) == {"card": 1, "iban": 1}
+    assert p.pseudonymised("+1 (579) 555-6331", CIPHER)[0].replace(" (", "").replace(") ", "").replace("-", "") == p.pseudonymised("+15795556331", CIPHER)[0]
