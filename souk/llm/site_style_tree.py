@@ -5,7 +5,8 @@ tags and classes are one node. A node's presentation is important if its pages d
 elements it holds; its content is important if its pages differ in the texts and links it holds.
 Both are entropies over the host's pages (Yi, Liu and Li 2003). The importance of a branch is the
 discounted mean of its nodes' importances, and branches below a threshold are removed from every
-page, as are elements whose tag, role or class says that they are no article.
+page, as are elements whose tag or role says that they are no article. A class or id says so only
+outside article and main elements; inside, the importance alone decides on such branches.
 
 Pages are parsed inside tasks; what is shuffled are counts of hashes per style node, combined
 within each task, and never whole DOMs.
@@ -49,14 +50,21 @@ BLOCK = frozenset(
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
-#: Words in a class or id that mark what is no article.
-NOISE = re.compile(
-    r"(?:^|(?<!has)(?<!with)(?<!no)[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
+#: Words of a class or id that mark what is no article, and words that may stand beside them in a class.
+_MARKS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|widget|related|recommend\w*|share|social|comments?|"
     r"respond|reply|replies|disqus|footer|masthead|site-header|page-header|newsletter|subscribe|signup|login|"
-    r"search|pagination|pager|skip-link|toolbar|toc)(?=$|[\s_-])",
-    re.IGNORECASE,
+    r"search|pagination|pager|skip-link|toolbar|toc"
 )
+_BESIDE = (
+    r"box|bar|area|list|wrap|wrapper|container|block|section|links?|icons?|buttons?|posts?|articles?|items?|inner|outer|"
+    r"top|bottom|left|right|main|site|page|primary|secondary|header|form"
+)
+NOISE_CLASS = re.compile(rf"(?:(?:{_MARKS}|{_BESIDE})[_-]+)*(?:{_MARKS})(?:[_-]+(?:{_MARKS}|{_BESIDE}))*", re.IGNORECASE)
+NOISE_ID = re.compile(_MARKS, re.IGNORECASE)
+#: Ids of these are the addresses of what they hold, and say nothing about its part in the page.
+ADDRESSED = frozenset("html body article main section h1 h2 h3 h4 h5 h6 p li dt dd".split())
 #: A start tag of the first closes an open element of the second.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -75,6 +83,15 @@ def _landmark(path: str) -> bool:
     return any(step.split(".")[0] in ("article", "main") for step in path.split("/"))
 
 
+def _marked(tag: str, given: dict) -> bool:
+    """Whether a whole class name, or the whole id of a container, is made of words that mark no article."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    if any(NOISE_CLASS.fullmatch(name) for name in given.get("class", "").split()):
+        return True
+    return tag not in ADDRESSED and bool(NOISE_ID.fullmatch(given.get("id", "").strip()))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
@@ -149,7 +166,7 @@ class Page(HTMLParser):
             or given.get("role", "").lower() in ROLES
             or "hidden" in given
             or given.get("aria-hidden", "").lower() == "true"
-            or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(given.get("class", "") + " " + given.get("id", ""))))
+            or (_marked(tag, given) and not any(e[0] in ("article", "main") for e in self.open))
         )
         path = f"{parent[1]}/{name}" if len(self.open) <= DEPTH else parent[1]
         self.open.append([tag, path, noise, []])

@@ -95,3 +95,23 @@ def test_importance_follows_the_formulas(spark):
 
 def test_an_empty_table(spark):
     assert s.main_texts(frame(spark, site("a.example.org", [1])).where("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><section id='related-work'><p>a</p></section><h2 id='notice-period'>b</h2></article>", "a\nb"),
+        ("<section id='search-and-rescue'><p>a</p></section><div id='social-impact'>b</div>", "a\nb"),
+        ("<div class='card-share-price'>a</div><main><div class='comments'>b</div></main>", "a\nb"),
+        ("<h2 id='search'>a</h2><div class='main-nav'>m</div><div class='related-posts'>r</div><div id='sidebar'>s</div>", "a"),
+    ],
+)
+def test_listed_words_take_no_content(html, want):
+    assert text_of(html) == want
+
+
+def test_listed_branches_of_an_article_follow_their_importance(spark):
+    page = "<html><body><article><p>{0}</p><div class='related'>{0} r</div><div class='share'>Share this</div></article></body></html>"
+    rows = [(i, f"http://l.example.com/{i}", page.format(prose(i, 12))) for i in range(12)]
+    found = {r["page_id"]: r["text"] for r in s.main_texts(frame(spark, rows)).collect()}
+    assert found == {i: f"{prose(i, 12)}\n{prose(i, 12)} r" for i in range(12)}
