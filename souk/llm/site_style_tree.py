@@ -14,6 +14,7 @@ within each task, and never whole DOMs.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,8 @@ from souk.session import settle
 
 #: Weight of an element of a branch falls by this factor with each level below its head.
 DISCOUNT = 0.9
-#: Branches of less importance are removed, on hosts with at least so many different pages.
+#: Branches of less importance are removed. On hosts of fewer different pages the threshold falls with the
+#: logarithm of their number, which is the largest entropy there is; one page alone tells nothing.
 THRESHOLD = 0.2
 LEAST_PAGES = 5
 #: Style paths are kept to this depth; what lies deeper counts as its ancestor's own.
@@ -206,7 +208,7 @@ def in_article(path: str) -> bool:
 def main_text(page: Page, noise: frozenset[str] = frozenset()) -> str:
     """The blocks of a page that lie in no removed branch, joined by line breaks.
 
-    A page that consists of removed branches only keeps them: on it they are the content.
+    A page that consists of removed branches only has no article, and an empty text.
     """
 
     def removed(path: str) -> bool:
@@ -216,7 +218,7 @@ def main_text(page: Page, noise: frozenset[str] = frozenset()) -> str:
         return any("/".join(steps[: k + 1]) in noise for k in range(1, len(steps)))
 
     kept = [text for path, text in page.blocks if not (noise and removed(path))]
-    return "\n".join(kept or [text for _, text in page.blocks])
+    return "\n".join(kept)
 
 
 def host_of(url: str = "url") -> Column:
@@ -246,10 +248,10 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def noise_branches(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path): heads of style branches whose importance lies below the threshold."""
+    """(host, path): heads of style branches whose importance lies below the threshold of their host."""
     counts = settle(style_counts(pages).distinct(), "styles")
-    sizes = settle(counts.groupBy("host").agg(F.approx_count_distinct("page", 0.01).alias("m")), "hosts")
-    sizes = sizes.where(F.col("m") >= least_pages)
+    different = counts.select("host", "page").distinct()
+    sizes = settle(different.groupBy("host").agg(F.count("*").alias("m")), "hosts").where("m > 1")
     log = F.log("m")
     # Entropy over pages from sums alone: with n_i of n on page i it is log n - sum(n_i log n_i) / n.
     items = counts.groupBy("host", "path", "kind", "item").agg(
@@ -284,15 +286,19 @@ def noise_branches(pages: DataFrame, threshold: float = THRESHOLD, least_pages:
     branches = spread.groupBy("host", F.col("h.head").alias("path")).agg(
         (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance")
     )
-    return branches.where(F.col("importance") < threshold).select("host", "path")
+    # A host of many pages has the whole threshold.
+    full = math.log(max(least_pages, 2))
+    scale = F.least(F.lit(1.0), log / full)
+    return branches.join(sizes, "host").where(F.col("importance") < threshold * scale).select("host", "path")
 
 
 def main_texts(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Texts of a page are its article blocks in page order, joined by line breaks. A NULL or empty
-    page has an empty text; a page without host, or on a host with fewer than ``least_pages``
-    different pages, is judged by its elements alone. Broken markup is read as browsers do: what
+    page has an empty text, as has one of removed branches only; a page without host, or alone on its
+    host, is judged by its elements alone. With fewer than ``least_pages`` different pages the
+    threshold is lower. Broken markup is read as browsers do: what
     is left open ends with its parent or the page. Only page_id, url and html are read.
     """
     noise = noise_branches(pages, threshold, least_pages)

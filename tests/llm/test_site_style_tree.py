@@ -115,3 +115,14 @@ def test_listed_branches_of_an_article_follow_their_importance(spark):
     rows = [(i, f"http://l.example.com/{i}", page.format(prose(i, 12))) for i in range(12)]
     found = {r["page_id"]: r["text"] for r in s.main_texts(frame(spark, rows)).collect()}
     assert found == {i: f"{prose(i, 12)}\n{prose(i, 12)} r" for i in range(12)}
+
+
+def test_hosts_of_few_pages_and_pages_without_article(spark):
+    rows = site("few.example.org", range(3))
+    rows += site("some.example.org", range(20, 40))
+    bare = "<html><body><div class='x1'><div>Sign in now</div><div>Our <a href='/all'>offers</a></div></div></body></html>"
+    rows.append((800, "https://some.example.org/empty", bare))
+    found = {r["page_id"]: r["text"] for r in s.main_texts(frame(spark, rows)).collect()}
+    for i in (*range(3), *range(20, 40)):
+        assert found[i] == f"{prose(i, 20)}\n{prose(i + 9000, 15)}"
+    assert found[800] == ""
