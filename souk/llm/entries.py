@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from souk.llm import mixing, warc_fixity
 from souk.llm.block_identity import exact_groups
+from souk.llm.common import WORD, whole_text
 from souk.llm.decontamination import contaminations
 from souk.llm.fuzzy_lines import deduplicated
+from souk.llm.periodic_runs import with_runs
 from souk.llm.pii_feistel import pseudonymise
 from souk.llm.quality_cnn import scored
 from souk.llm.secrets import span_text, with_secrets
@@ -76,6 +78,42 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
+def _partly_periodic(docs: DataFrame) -> DataFrame:
+    """One text in ten, chosen by the checksum of its id, repeats its words from a place on; a row without id never."""
+    h = F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary"))
+    changes = F.coalesce(h % 10 == 0, F.lit(False)).alias("changes")
+    words = F.when(F.col("changes"), F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0)))
+    n, g = F.size("words").cast("bigint"), F.floor(h / 10)
+    begin, rest = F.col("begin"), F.col("n") - F.col("begin")
+    repeated = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[int(if(i < begin, i, begin + (i - begin) % period))]), ' ')")
+    return (
+        docs.select("doc_id", "text", g.alias("g"), changes)
+        .withColumn("words", words)
+        .withColumn("n", n)
+        .withColumn("begin", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+        .withColumn("period", 1 + F.floor(rest / (3 + F.col("g") % 8)))
+        .select("doc_id", F.when(F.col("changes") & (F.col("n") > 0), repeated).otherwise(F.col("text")).alias("text"))
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = with_runs(_partly_periodic(_table(spark, folder, "documents").select("doc_id", "text")))
+    line = lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", line), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        "best.length",
+        (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +127,7 @@ QUERIES = {
         op8_pii_feistel,
         op9_quality_cnn,
         op10_exact_dedup,
+        op13_periodic_runs,
     )
 }
 
