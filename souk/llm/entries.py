@@ -16,6 +16,7 @@ from souk.llm.quality_cnn import scored
 from souk.llm.secrets import span_text, with_secrets
 from souk.llm.simhash_neardup import hex_fingerprint, near_duplicates
 from souk.llm.site_style_tree import main_texts
+from souk.llm.spelling_variants import runs_of_letters, spelling_forms
 
 
 #: Any key gives the same kind of result; a deployment brings its own, kept out of the code.
@@ -78,6 +79,22 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of 7 letters and more that occur twice, after one run in 31 of a document has lost a letter.
+
+    Which run loses which letter follows from the checksum of id and run; a NULL id counts as an empty one.
+    """
+    docs = _table(spark, folder, "documents")
+    # A shorter run cannot become a word, so only runs of at least 7 letters are taken.
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).alias("doc"), F.explode(runs_of_letters(least=7)).alias("run"))
+    h = F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(h % 31 == 0, shorter).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 7)
+    words = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    return spelling_forms(words, ratio=10)
+
+
 def _partly_periodic(docs: DataFrame) -> DataFrame:
     """One text in ten, chosen by the checksum of its id, repeats its words from a place on; a row without id never."""
     h = F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary"))
@@ -127,6 +144,7 @@ QUERIES = {
         op8_pii_feistel,
         op9_quality_cnn,
         op10_exact_dedup,
+        op12_spelling_variants,
         op13_periodic_runs,
     )
 }
