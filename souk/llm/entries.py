@@ -10,6 +10,7 @@ from souk.llm.block_identity import exact_groups
 from souk.llm.common import WORD, whole_text
 from souk.llm.decontamination import contaminations
 from souk.llm.fuzzy_lines import deduplicated
+from souk.llm.imatch import beside_edited
 from souk.llm.periodic_runs import with_runs
 from souk.llm.pii_feistel import pseudonymise
 from souk.llm.quality_cnn import scored
@@ -79,6 +80,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
 
+def op11_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    found = beside_edited(_table(spark, folder, "documents"))
+    edited = F.sha2("edited", 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of 7 letters and more that occur twice, after one run in 31 of a document has lost a letter.
 
@@ -144,6 +151,7 @@ QUERIES = {
         op8_pii_feistel,
         op9_quality_cnn,
         op10_exact_dedup,
+        op11_imatch,
         op12_spelling_variants,
         op13_periodic_runs,
     )
