@@ -22,7 +22,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -48,10 +48,11 @@ _LAST_ID = (1 << 63) - 1
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms: runs of letters and digits in lower case, or words if there are none."""
-    lower = F.lower(text)
-    runs = F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    words = F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
-    return F.array_distinct(F.transform(F.when(F.size(runs) > 0, runs).otherwise(words), lambda t: F.xxhash64(t)))
+    lower, run = F.lower(text), r"[\p{L}\p{N}]"
+    # Asked first, so that the runs are looked for once.
+    found = F.when(lower.rlike(run), F.regexp_extract_all(lower, F.lit(f"{run}+"), F.lit(0)))
+    found = found.otherwise(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
 def lexicon(docs: DataFrame, text: str = "text", common: int = COMMON, rare: int = RARE) -> np.ndarray:
@@ -71,7 +72,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mixed(np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: One odd factor per order of the lexicon: terms are hashes, so the high bits of a product put them in a random order.
+_FACTORS = _mixed(np.arange(1, STREAMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _hashes(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,18 +82,20 @@ def _hashes(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     A sum of scrambled terms does not depend on their order, so it is a hash of the sorted list.
     """
-    starts = np.cumsum(sizes) - sizes
     first = np.rint(np.log2(sizes)).astype(np.uint64)
-    whole = np.add.reduceat(_mixed(values), starts)
-    drawn = _mixed(values[:, None] ^ _SEEDS)
+    whole = np.add.reduceat(_mixed(values), np.cumsum(sizes) - sizes)
+    drawn = values[:, None] * _FACTORS
+    # Of each order a text has about one term in its first subset, and fewer in the others.
+    term, stream = np.nonzero(drawn <= (_ALL >> np.repeat(first, sizes))[:, None])
+    text, rank = np.repeat(np.arange(len(sizes)), sizes)[term], drawn[term, stream]
+    scrambled = _mixed(values[term] ^ _FACTORS[stream])
     entries = np.zeros((len(sizes), LEVELS, STREAMS), np.uint64)
-    scrambled = _mixed(drawn)
     for level in range(LEVELS):
-        highest = np.uint64(0xFFFFFFFFFFFFFFFF) >> np.repeat(first + np.uint64(level), sizes)
-        member = drawn <= highest[:, None]
-        sums = np.add.reduceat(np.where(member, scrambled, np.uint64(0)), starts) >> np.uint64(48)
-        any_member = np.logical_or.reduceat(member, starts)
-        entries[:, level] = np.where(any_member, np.maximum(sums, np.uint64(1)), np.uint64(0))
+        member = rank <= _ALL >> (first[text] + np.uint64(level))
+        sums, held = np.zeros((len(sizes), STREAMS), np.uint64), np.zeros((len(sizes), STREAMS), bool)
+        np.add.at(sums, (text[member], stream[member]), scrambled[member])
+        held[text[member], stream[member]] = True
+        entries[:, level] = np.where(held, np.maximum(sums >> np.uint64(48), np.uint64(1)), np.uint64(0))
     return whole, first, entries
 
 
@@ -99,6 +104,16 @@ def fingerprints_of(values: np.ndarray, sizes: np.ndarray, words: np.ndarray) ->
 
     A text none of whose terms are in the lexicon keeps all its terms; a text without terms has zeros.
     """
+    out, begin, ends = [], 0, np.cumsum(sizes)
+    while begin < len(sizes):
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        out += _some_fingerprints(values[base : ends[end - 1]], sizes[begin:end], words)
+        begin = end
+    return out
+
+
+def _some_fingerprints(values: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> list[str]:
     text = np.repeat(np.arange(len(sizes)), sizes)
     place = np.minimum(np.searchsorted(words, values), max(len(words) - 1, 0))
     known = words[place] == values if len(words) else np.zeros(len(values), bool)
@@ -107,18 +122,11 @@ def fingerprints_of(values: np.ndarray, sizes: np.ndarray, words: np.ndarray) ->
     values, sizes = values[keep], np.bincount(text[keep], minlength=len(sizes))
     out = ["0" * WIDTH] * len(sizes)
     filled = np.flatnonzero(sizes)
-    ends = np.cumsum(sizes[filled])
-    begin = 0
-    while begin < len(filled):
-        base = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
-        part = filled[begin:end]
-        whole, first, entries = _hashes(values[base : ends[end - 1]], sizes[part])
-        digits = entries.astype(">u2").tobytes().hex()
-        width = STREAMS * LEVELS * ENTRY
-        for k, at in enumerate(part.tolist()):
+    if len(filled):
+        whole, first, entries = _hashes(values, sizes[filled])
+        digits, width = entries.astype(">u2").tobytes().hex(), STREAMS * LEVELS * ENTRY
+        for k, at in enumerate(filled.tolist()):
             out[at] = f"{int(whole[k]):0{WHOLE}x}{int(first[k]):0{FIRST}x}{digits[k * width : (k + 1) * width]}"
-        begin = end
     return out
 
 
@@ -152,7 +160,7 @@ def fingerprint(docs: DataFrame, words: np.ndarray):
 
     @F.arrow_udf("string")
     def hashed(found: pa.Array) -> pa.Array:
-        values = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        values = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
         sizes = np.diff(found.offsets.to_numpy())
         return pa.array(fingerprints_of(values, sizes, shared.value), pa.string())
 
@@ -164,8 +172,8 @@ def likeness(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(likenesses(one.to_pylist(), other.to_pylist()) if len(one) else [], pa.float64())
 
 
-def in_order(docs: DataFrame, slice_chars: int = SLICE_CHARS) -> tuple[DataFrame, Window]:
-    """Rows (doc_id, text, slice, guest), and a window in which the row after each row is the next document.
+def in_order(docs: DataFrame, slice_chars: int = SLICE_CHARS) -> tuple[DataFrame, WindowSpec]:
+    """Rows (doc_id, text, key, mark, slice, guest), and a window in which the row after each row is the next document.
 
     Documents are ordered by doc_id, NULL last, then by a hash of the text; after the last comes the first. The order is cut
     into slices of about ``slice_chars`` code points; the first row of each is a guest at the end of the slice
@@ -188,8 +196,13 @@ def in_order(docs: DataFrame, slice_chars: int = SLICE_CHARS) -> tuple[DataFrame
             found.append([at, (at or len(bounds)) - 1] if bounds[at] == pair else [at])
         return pa.array(found, pa.list_(pa.int32()))
 
-    placed = rows.select("*", F.posexplode(slices("key", "mark")).alias("guest", "slice"))
-    return placed.withColumn("guest", F.col("guest") == 1), Window.partitionBy("slice").orderBy("guest", "key", "mark")
+    return rows.withColumn("slices", slices("key", "mark")), Window.partitionBy("slice").orderBy("guest", "key", "mark")
+
+
+def with_guests(rows: DataFrame) -> DataFrame:
+    """Each row in its slice, and again in the slice it is a guest of."""
+    placed = rows.select("*", F.posexplode_outer("slices").alias("guest", "slice")).drop("slices")
+    return placed.withColumn("guest", F.col("guest") == 1)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -210,17 +223,23 @@ def beside_edited(docs: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     hashed = fingerprint(docs, lexicon(docs))
     rows, window = in_order(docs, slice_chars)
+    # Fingerprints are made before the shuffle, so a row meets that of the next document as well as its text.
+    rows = with_guests(rows.withColumn("print", F.unhex(hashed(F.col("text")))))
+    rows = rows.withColumn("next", F.lead("text").over(window)).withColumn("beyond", F.lead("print").over(window))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(
-        F.substring("text", F.lit(1), F.length("text") - half),
-        F.substring(F.coalesce("next", F.lit("")), F.lit(1), half),
+    kept = F.substring("text", F.lit(1), F.length("text") - half)
+    rows = rows.where(~F.col("guest")).withColumn("edited", F.concat(kept, F.substring("next", F.lit(1), half)))
+    rows = rows.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        "edited",
+        F.lower(F.hex("print")).alias("fingerprint"),
+        F.lower(F.hex("beyond")).alias("beyond"),
     )
-    rows = rows.withColumn("next", F.lead("text").over(window)).withColumn("edited", edited)
-    rows = rows.withColumn("fingerprint", hashed(F.col("text"))).withColumn("edited_fingerprint", hashed(F.col("edited")))
-    rows = rows.withColumn("beyond", F.lead("fingerprint").over(window)).where(~F.col("guest"))
+    rows = rows.withColumn("edited_fingerprint", hashed(F.col("edited")))
     return rows.select(
         "doc_id",
-        F.length("text").cast("bigint").alias("n_chars"),
+        "n_chars",
         "edited",
         "fingerprint",
         "edited_fingerprint",

@@ -77,9 +77,9 @@ def plain_print(values, words):
     out = f"{sum(map(mixed, kept)) & mask:016x}{first:02x}"
     for level in range(first, first + LEVELS):
         for s in range(1, STREAMS + 1):
-            seed = mixed(s * 0x9E3779B97F4A7C15 & mask)
-            chosen = [mixed(v ^ seed) for v in kept if mixed(v ^ seed) <= mask >> level]
-            total = (sum(map(mixed, chosen)) & mask) >> 48
+            factor = mixed(s * 0x9E3779B97F4A7C15 & mask) | 1
+            chosen = [v for v in kept if v * factor & mask <= mask >> level]
+            total = (sum(mixed(v ^ factor) for v in chosen) & mask) >> 48
             out += f"{max(total, 1) if chosen else 0:04x}"
     return out
 
