@@ -6,17 +6,12 @@ their last digits depend on the order of summation. Both sides do the same.
 
 from __future__ import annotations
 
+from oracle import checks
 from oracle.tables import average, build, rate, tally
-from souk.operators.quality import EVENT_TYPES, ORDER_STATUSES, RATINGS, Check, declared_checks
-from souk.plans.kpis import AGGRESSIVE, BASELINE, REGULAR
-from souk.plans.warehouse import CATALOG
 
-REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-CATEGORY_NAMES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+REGION_NAMES = checks.TEST_REGIONS
 MAP_CODES = {f"N{n:02d}": f"C{n:02d}" for n in range(15)}
 WATCHED = ("N02", "N05", "N07", "N11", "N19")
-RAW_STATUSES = tuple(s.capitalize() for s in ORDER_STATUSES)
-RAW_EVENT_TYPES = ("Order_Created", *EVENT_TYPES[1:])
 
 # Decimal columns per table, given as double in the comparison.
 DECIMALS = {
@@ -164,8 +159,8 @@ SQL["qry-12"] = f"""
 select category_name as category, units_sold, {money("gross_sales")} as gross_sales
 from dim_category order by dim_category.gross_sales desc, 1 limit 10"""
 SQL["qry-13"] = f"""
-select case when transit_days > 7 then 'Slow' when transit_days > 4 then 'Standard'
-            when transit_days > 2 then 'Expedited' else 'Express' end as level,
+select case when transit_days <= 2 then 'Express' when transit_days <= 4 then 'Expedited'
+            when transit_days <= 7 then 'Standard' else 'Slow' end as level,
        count(*) as orders, {money("sum(total)")} as gmv
 from fct_orders where transit_days is not null group by 1"""
 for _key, _name in {
@@ -184,8 +179,8 @@ select coalesce(promotion_type, 'unknown') as promotion_type, count(*) as campai
        {settled("avg(chargeback_rate)")} as avg_chargeback_rate, {settled("avg(return_rate)")} as avg_return_rate
 from gmv_by_promotion where promotion_id <> 'NO_PROMOTION' group by 1"""
 BUCKETS = f"""
-select case when promotion_id = 'NO_PROMOTION' then '{BASELINE}' when is_aggressive then '{AGGRESSIVE}'
-            else '{REGULAR}' end as bucket,
+select case when promotion_id = 'NO_PROMOTION' then 'baseline (no promo)'
+            when is_aggressive then 'aggressive (>=30% / BOGO)' else 'regular promo' end as bucket,
        count(*) as campaigns, cast(sum(orders_count) as bigint) as orders, {money("sum(gmv)")} as gmv,
        {settled("avg(avg_order_value)")} as aov,
        {settled("sum(cast(gmv as double) * chargeback_rate) / cast(sum(gmv) as double)")} as weighted_chargeback_rate,
@@ -253,11 +248,14 @@ def _matrix(row: str, column: str, values: dict[str, str], cell: str, source: st
 SQL["shp-01"] = _matrix(
     "category", "region", {r: f"'{r}'" for r in REGION_NAMES}, "return_rate", "category_region_return_rate"
 )
+# The orders of the test tables lie between January 1992 and August 1998: ages of 0 to 79 months.
+_ages = ", ".join(
+    f"""{settled(f"avg(retention_pct * 100) filter (where months_since_acquisition = {age})")} as "M{age}" """ for age in range(80)
+)
 SQL["shp-02"] = f"""
-select * from (
-    pivot (select cohort_month, 'M' || months_since_acquisition as age, retention_pct * 100 as pct
-           from customer_cohort_retention) on age using {settled("avg(pct)")} group by cohort_month)
-where cohort_month in (select distinct cohort_month from customer_cohort_retention order by cohort_month desc limit 12)"""
+select cohort_month, {_ages} from customer_cohort_retention
+where cohort_month in (select distinct cohort_month from customer_cohort_retention order by cohort_month desc limit 12)
+group by cohort_month"""
 _tenures = ["< 3mo", "3-12mo", "1-2y", "2y+"]
 SQL["shp-03"] = "select region, " + ", ".join(
     f"""{settled(f"coalesce(avg(avg_net_ltv) filter (where tenure_bucket = '{b}'), 0)")} as "{b}" """ for b in _tenures
@@ -424,14 +422,96 @@ SHEETS = {
 }
 for _key, _parts in SHEETS.items():
     _all = "\nunion all ".join(_parts)
-    SQL[_key] = f"""select * replace ({settled('"number"')} as "number") from ({_all})"""
-_every = "\nunion all ".join(part for parts in SHEETS.values() for part in parts)
+    SQL[f"{_key}b"] = f"""select * replace ({settled('"number"')} as "number") from ({_all})"""
+
+# The same as documents: JSON text put together by hand, keys in order.
+
+
+def _whole(c: str) -> str:
+    return f"coalesce(cast(cast({c} as bigint) as varchar), 'null')"
+
+
+def _fraction(c: str) -> str:
+    return f"coalesce(cast(cast({c} as decimal(38,6)) as varchar), 'null')"
+
+
+def _words(c: str) -> str:
+    return f"""coalesce('"' || cast({c} as varchar) || '"', 'null')"""
+
+
+def _object(whole: str = "", fraction: str = "", words: str = "") -> str:
+    cells = [(c, _whole(f'"{c}"')) for c in whole.split()] + [(c, _fraction(f'"{c}"')) for c in fraction.split()]
+    cells += [(c, _words(f'"{c}"')) for c in words.split()]
+    return "'{' || " + " || ',' || ".join(f"""'"{c}":' || {x}""" for c, x in sorted(cells)) + " || '}'"
+
+
+def _listed(source: str, record: str, order: str = "pos") -> str:
+    return f"(select '[' || coalesce(string_agg({record}, ',' order by {order}), '') || ']' from ({source}))"
+
+
+def _json(section: str, parts: dict[str, str]) -> str:
+    body = " || ',' || ".join(f"""'"{name}":' || {text}""" for name, text in sorted(parts.items()))
+    return f"select '{section}' as section, '{{' || {body} || '}}' as payload"
+
+
+_kpi = _object(
+    "chargebacks_total orders_total returns_total units_sold", "avg_order_value avg_units_per_order chargeback_rate gmv return_rate"
+)
+_month = _object("orders promo_peak_orders", "gmv", "month")
+_month_rows = f"""(select * replace (cast("month" as date) as "month") from ({MONTHS}))"""
+_offender = _object("orders_total returns_total", "gmv_loss_rate refund_total return_rate", "category region")
+_anomaly = _object("", "delta_vs_baseline gmv_loss_rate refund_total return_rate", "category region")
+_campaign = _object("discount_value", "chargeback_rate gmv", "promotion_name promotion_type")
+_carrier = _object("orders_total", "late_return_rate sla_miss_rate", "carrier_name")
+_flagged = "avg(chargeback_rate) filter (where {})"
+DOCUMENTS = {
+    "pay-01": _json(
+        "overview",
+        {
+            "kpis": f"(select {_kpi} from ({OVERVIEW}))",
+            "last_3_months": _listed(f"""select * from {_month_rows} order by "month" desc limit 3""", _month, '"month"'),
+            "peak_month": f"""(select {_month} from {_month_rows} order by gmv desc, "month" limit 1)""",
+        },
+    ),
+    "pay-02": _json(
+        "returns",
+        {
+            "global_avg_return_rate": f"(select {_fraction('avg(return_rate)')} from {MART})",
+            "global_total_refunds": f"(select {_fraction('coalesce(sum(refund_total), 0)')} from {MART})",
+            "top_5_offenders": _listed(_top(MART, "return_rate desc, category, region", 5), _offender),
+            "bottom_3_safe_zones": _listed(
+                _top(MART, "return_rate, category, region", 3), _object("", "return_rate", "category region")
+            ),
+            "anomalies_vs_baseline": _listed(
+                _top(f"({ANOMALIES})", "abs(delta_vs_baseline) desc, category, region", 5), _anomaly
+            ),
+        },
+    ),
+    "pay-03": _json(
+        "promotions",
+        {
+            "campaigns_count": f"(select {_whole('count(*)')} from {PROMOS})",
+            "total_promo_gmv": f"(select {_fraction('coalesce(sum(gmv), 0)')} from {PROMOS})",
+            "aggressive_campaigns_chargeback_rate": f"(select {_fraction('coalesce(' + _flagged.format('is_aggressive') + ', 0)')} from {PROMOS})",
+            "non_aggressive_chargeback_rate": f"(select {_fraction('coalesce(' + _flagged.format('not is_aggressive') + ', 0)')} from {PROMOS})",
+            "top_3_by_gmv": _listed(_top(PROMOS, "gmv desc, promotion_id", 3), _campaign),
+        },
+    ),
+    "pay-04": _json(
+        "sla",
+        {
+            "worst_carriers": _listed(_top(f"({CARRIERS})", "sla_miss_rate desc nulls last, carrier_name", 3), _carrier),
+            "best_carriers": _listed(
+                _top(f"({CARRIERS})", "sla_miss_rate nulls first, carrier_name desc", 3), _carrier, "pos desc"
+            ),
+            "global_sla_miss_rate": f"(select {_fraction('avg(sla_miss_rate)')} from ({CARRIERS}))",
+        },
+    ),
+}
+SQL |= DOCUMENTS
+_every = "\nunion all ".join(DOCUMENTS.values())
 SQL["pay-05"] = f"""
-select section, left(sha256(section || ':[' || string_agg('{{"fact":"' || fact || '","position":' || position
-         || ',"field":"' || field || '"' || coalesce(',"value":"' || value || '"', '') || '}}', ','
-         order by fact, position, field) || ']'), 16) as signature
-from (select *, coalesce("text", cast(cast("number" as decimal(38,6)) as varchar)) as value from ({_every}))
-group by section"""
+select section, left(sha256('{{"payload":' || payload || ',"section":"' || section || '"}}'), 16) as signature from ({_every})"""
 
 # ---- data checks ------------------------------------------------------------
 
@@ -448,66 +528,76 @@ select return_id, order_id, delivered_date, return_date, days_to_return from fct
 }
 
 
-def failures(check: Check) -> str:
-    t, c = check.table, f'"{check.column}"'
-    if check.kind == "not_null":
-        return f"select count(*) from {t} where {c} is null"
-    if check.kind == "unique":
-        return f"select count(*) from (select {c} from {t} where {c} is not null group by {c} having count(*) > 1)"
-    if check.kind == "accepted_values":
-        listed = ", ".join(f"'{v}'" for v in check.values)
-        return f"select count(distinct {c}) from {t} where cast({c} as varchar) not in ({listed})"
-    if check.kind == "relationships":
-        return f"select count(*) from {t} where {c} is not null and {c} not in (select {c} from {check.parent})"
-    return f"select count(*) from ({FAILING[check.kind]})"
-
-
-def summary(checks: list[Check]) -> str:
-    rows = "\nunion all ".join(
-        f"""select '{c.name}' as "check", '{c.kind}' as kind, '{c.table}' as "table", '{c.column}' as "column",
-        '{c.severity}' as severity, ({failures(c)}) as failures"""
-        for c in checks
-    )
-    return f"""
-select *, case when failures = 0 then 'pass' when severity = 'warn' then 'warn' else 'fail' end as status
-from ({rows})"""
+def _check(kind: str, table: str, column: str, found: str, severity: str = "error") -> str:
+    return f"""select '{kind}_{table}_{column}' as "check", '{kind}' as kind, '{table}' as "table", '{column}' as "column",
+        '{severity}' as severity, ({found}) as failures"""
 
 
-def fixture_checks() -> list[Check]:
-    """The declared suite with the value lists of the test tables."""
-    return declared_checks(REGION_NAMES, CATEGORY_NAMES, RAW_STATUSES, RAW_EVENT_TYPES)
+def not_null() -> list[str]:
+    return [_check("not_null", t, c, f'select count(*) from {t} where "{c}" is null') for t, c in checks.NOT_NULL]
 
 
-def checks_of(kind: str) -> list[Check]:
-    """Checks of one kind with the default lists, so that some find something."""
-    return [c for c in declared_checks(regions=REGION_NAMES) if c.kind == kind]
+def unique() -> list[str]:
+    repeated = 'select count(*) from (select "{c}" from {t} where "{c}" is not null group by "{c}" having count(*) > 1)'
+    return [_check("unique", t, c, repeated.format(t=t, c=c)) for t, c in checks.UNIQUE]
 
 
-for _key, _kind in {
-    "dq-01": "not_null",
-    "dq-02": "unique",
-    "dq-03": "accepted_values",
-    "dq-04": "relationships",
-}.items():
-    SQL[_key] = summary(checks_of(_kind))
+def accepted_values(*lists: tuple[str, ...]) -> list[str]:
+    return [
+        _check("accepted_values", t, c, f"""select count(distinct "{c}") from {t} where cast("{c}" as varchar) not in {values}""")
+        for t, c, values in checks.accepted(*lists)
+    ]
+
+
+def relationships() -> list[str]:
+    return [
+        _check("relationships", t, c, f'select count(*) from {t} where "{c}" is not null and "{c}" not in (select "{c}" from {parent})', severity)
+        for t, c, parent, severity in checks.RELATIONSHIPS
+    ]
+
+
+def rules() -> list[str]:
+    return [_check(kind, t, c, f"select count(*) from ({FAILING[kind]})", "warn") for kind, t, c in checks.RULES]
+
+
+def summary(parts: list[str]) -> str:
+    rows = "\nunion all ".join(parts)
+    return f"""
+select *, case when failures = 0 then 'pass' when severity = 'warn' then 'warn' else 'fail' end as status
+from ({rows})"""
+
+
+#: The whole suite with the codes of the test tables.
+SUITE = summary(
+    [
+        *not_null(),
+        *unique(),
+        *accepted_values(checks.TEST_STATUSES, checks.TEST_EVENT_TYPES, checks.TEST_REGIONS, checks.TEST_CATEGORIES),
+        *relationships(),
+        *rules(),
+    ]
+)
+SQL["dq-01"] = summary(not_null())
+SQL["dq-02"] = summary(unique())
+# With the marketplace's own codes, so that some find something.
+SQL["dq-03"] = summary(accepted_values(checks.STATUSES, checks.EVENT_TYPES, checks.TEST_REGIONS, checks.CATEGORIES))
+SQL["dq-04"] = summary(relationships())
 SQL["dq-05"] = FAILING["positive_price"]
 SQL["dq-06"] = FAILING["payment_matches_order"]
 SQL["dq-07"] = FAILING["returned_within_policy"]
-SQL["dq-08"] = summary(fixture_checks())
+SQL["dq-08"] = SUITE
 SQL["dq-09"] = """
 select max(paid_at) as newest, date_diff('second', max(paid_at), timestamp '2001-08-02 12:00:00') / 3600.0 as age_hours,
        case when max(paid_at) < timestamp '2001-07-31 12:00:00' then 'fail'
             when max(paid_at) < timestamp '2001-08-01 10:00:00' then 'warn' else 'pass' end as status
 from stg_payments"""
 _built = "\nunion all ".join(
-    f"select 'model' as resource_type, '{m.name}' as node_name, 'success' as status, "
-    + (f"(select count(*) from {m.name})" if m.stored else "0")
-    + " as rows_affected"
-    for m in CATALOG.values()
+    f"select 'model' as resource_type, '{m}' as node_name, 'success' as status, {n} as rows_affected"
+    for m, n in [(m, f"(select count(*) from {m})") for m in checks.STORED] + [(m, "0") for m in checks.COMPUTED]
 )
 SQL["aud-01"] = f"""
 {_built}
-union all select 'test', "check", status, failures from ({summary(fixture_checks())})"""
+union all select 'test', "check", status, failures from ({SUITE})"""
 SQL["ded-01"] = doubled(
     "(select * from stg_orders qualify row_number() over (partition by customer_id order by order_date, order_id) = 1)",
     DECIMALS["stg_orders"],

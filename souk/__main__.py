@@ -17,7 +17,7 @@ from souk.plans.audit import AuditLog
 from souk.plans.build import run_pipeline
 from souk.plans.warehouse import Warehouse
 from souk.session import size_shuffles
-from souk.sources.raw import MULTI_LINE, csv_source, read_rejects
+from souk.sources.raw import MULTI_LINE, csv_source
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -37,16 +37,16 @@ def main(argv: list[str] | None = None) -> int:
     size_shuffles(spark, args.raw_dir)
     params = Params(as_of_date=args.as_of, return_window_days=args.return_window, lookback_days=args.lookback)
     log = AuditLog(spark, f"{args.warehouse_dir}/audit/runs")
+    source = csv_source(spark, args.raw_dir, args.multi_line)
     tables = Warehouse(
         spark,
-        csv_source(spark, args.raw_dir, args.multi_line),
+        source,
         params,
         root=args.warehouse_dir,
         extra={"audit_runs": log.read},
         full_refresh=args.full_refresh,
     )
-    rejects = read_rejects(spark, args.raw_dir, args.multi_line)
-    run = run_pipeline(tables, declared_checks(), log, rejects=rejects)
+    run = run_pipeline(tables, declared_checks(), log, rejects=source.rejects())
     told = run.where("status in ('error', 'fail', 'skipped', 'warn')").select("node_name", "status", "message").collect()
     for row in told:
         print(f"{row['status']:8} {row['node_name']} {row['message']}", file=sys.stderr)

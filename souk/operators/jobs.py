@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.columns import col, flag_sum, long_sum, month_of, ratio
 from souk.operators.staging import Tables
+from souk.operators.sweep import first_open
 from souk.params import Params
 
 # Shipping steps and the hours after the order at which each happens;
@@ -43,40 +44,27 @@ def calendar(span: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def promotion_attribution(t: Tables, p: Params) -> DataFrame:
-    """For every order: how many campaigns ran on its day and which of them to credit.
+    """For every order: how many campaigns ran at its time and which of them to credit.
 
-    The interval join is turned into an equality on the day: campaigns are spread over the
-    days they cover and reduced to one row per day, so an order meets one row however many
-    campaigns overlap. The earliest-started campaign is credited, then the lowest id. The
+    A sweep over campaign starts and ends, one row per distinct time of an order, is joined back by equality. It takes dates and
+    instants alike, and no campaign is spread over its days. The earliest-started campaign is credited, then the lowest id. The
     recorded campaign is checked against its own window.
     """
     campaigns = t["stg_promotions"]
-    # Windows are cut to the days orders have, so one without an end has no more days than they.
-    span = t["stg_orders"].agg(F.min("order_date").alias("first"), F.max("order_date").alias("last"))
-    first, last = span.select("first").scalar(), span.select("last").scalar()
-    days = F.sequence(F.greatest("starts_at", first), F.least("ends_at", last))
-    per_day = (
-        campaigns.where((F.col("starts_at") <= F.col("ends_at")) & (F.col("starts_at") <= last) & (F.col("ends_at") >= first))
-        .select("promotion_id", "starts_at", F.explode(days).alias("order_date"))
-        .groupBy("order_date")
-        .agg(
-            F.count("*").alias("active_campaigns"),
-            F.min_by("promotion_id", F.struct("starts_at", "promotion_id")).alias("credited_promotion_id"),
-        )
-    )
+    at_time = first_open(t["stg_orders"], "order_date", campaigns, "starts_at", "ends_at", "promotion_id")
     windows = campaigns.select("promotion_id", "starts_at", "ends_at")
     inside = F.col("order_date").between(F.col("starts_at"), F.col("ends_at"))
     return (
         t["stg_orders"]
         .select("order_id", "order_date", "promotion_id")
-        .join(per_day, "order_date", "left")
+        .join(at_time, "order_date", "left")
         .join(windows, "promotion_id", "left")
         .select(
             "order_id",
             "order_date",
             "promotion_id",
-            F.coalesce("active_campaigns", F.lit(0)).cast("bigint").alias("active_campaigns"),
-            "credited_promotion_id",
+            F.coalesce("n_open", F.lit(0)).cast("bigint").alias("active_campaigns"),
+            F.col("first_open").alias("credited_promotion_id"),
             inside.alias("recorded_in_window"),
         )
     )

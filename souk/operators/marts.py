@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.columns import (
@@ -16,13 +16,55 @@ from souk.functions.columns import (
     ratio,
     zero_if_null,
 )
-from souk.operators.ordered import exact_median, running_totals
+from souk.operators.ordered import bracketed_median, median_bracket, running_totals
+from souk.operators.rollups import mean_of, order_states
 from souk.operators.staging import Tables
 from souk.params import Params
+from souk.session import settle
 
 NO_PROMOTION = "NO_PROMOTION"
 
 
+#: Months that fit into one word of bits.
+WORD = 62
+
+
+def _month_number(day: str) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def _month_start(number: str) -> Column:
+    n = F.col(number)
+    return F.make_date(F.floor(n / 12).cast("int"), (n % 12 + 1).cast("int"), F.lit(1))
+
+
+def _bit(month: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (month % WORD).cast("int"))
+
+
+def _months_in(word: int) -> Column:
+    """The numbers of the months whose bits are set in one word."""
+    numbers = F.array(*[F.lit(word * WORD + b) for b in range(WORD)])
+    mask = F.coalesce(F.col(f"w{word}"), F.lit(0).cast("bigint"))
+    return F.filter(numbers, lambda m: mask.bitwiseAND(_bit(m)) != 0)
+
+
+def active_months(t: Tables) -> DataFrame:
+    """(customer_id, months): the numbers of the months each customer ordered in.
+
+    The months are collected as bits of a few integers, which a hash aggregate combines before and after the one shuffle.
+    """
+    orders = t["fct_orders"].where(F.col("customer_id").isNotNull())
+    span = t.span("fct_orders", "order_date") if hasattr(t, "span") else None
+    low, high = span or t["fct_orders"].agg(F.min("order_date"), F.max("order_date")).first()
+    if low is None:
+        return orders.select("customer_id", F.lit(None).cast("array<int>").alias("months"))
+    words = range((low.year * 12 + low.month - 1) // WORD, (high.year * 12 + high.month - 1) // WORD + 1)
+    number = _month_number("order_date")
+    masks = [F.bit_or(F.when(F.floor(number / WORD) == w, _bit(number))).alias(f"w{w}") for w in words]
+    return orders.groupBy("customer_id").agg(*masks).select("customer_id", F.concat(*[_months_in(w) for w in words]).alias("months"))
+
+
 def category_region_return_rate(t: Tables, p: Params) -> DataFrame:
     """Returns against orders per category and region.
 
@@ -32,20 +74,15 @@ def category_region_return_rate(t: Tables, p: Params) -> DataFrame:
     """
     regions = t["stg_geography"].select("country_code", "region")
     key = ["category_id", "category", "region"]
-    by_country = (
-        t["fct_orders"]
-        .where(F.col("order_status").isin("delivered", "returned") & F.col("category_primary").isNotNull())
-        .groupBy("category_id", F.col("category_primary").alias("category"), "ship_country")
-        .agg(F.count("*").alias("_rows"), money_sum("total").alias("_gmv"), F.count("total").alias("_priced"))
-    )
+    by_country = order_states(t, "category", "gmv", "orders", "priced")
     orders = (
         by_country.join(regions, by_country.ship_country == regions.country_code, "left")
         .withColumn("region", F.coalesce("region", F.lit("Other")))
         .groupBy(*key)
         .agg(
-            long_sum("_rows").alias("orders_total"),
-            money_sum("_gmv").alias("gmv"),
-            ratio(F.sum("_gmv"), F.sum("_priced")).alias("avg_order_value"),
+            long_sum("orders").alias("orders_total"),
+            money_sum("gmv").alias("gmv"),
+            mean_of("gmv", "priced").alias("avg_order_value"),
         )
     )
     groups = ["product_issue", "fit_issue", "customer_driven", "fulfillment_issue"]
@@ -189,20 +226,15 @@ def sla_by_carrier(t: Tables, p: Params) -> DataFrame:
 def customer_cohort_retention(t: Tables, p: Params) -> DataFrame:
     """Share of each first-order-month cohort active in every later month.
 
-    Orders collapse to one row per customer and month before anything is grouped by
-    customer, so a customer with very many orders weighs no more than their months.
+    A customer is one row with a bit per month, so the shuffle takes one row per customer and task, however many orders
+    and months they have; its lowest bit is the cohort.
     """
-    months = (
-        t["fct_orders"]
-        .where(F.col("customer_id").isNotNull())
-        .select("customer_id", month_of("order_date").alias("activity_month"))
-        .distinct()
-    )
-    first = F.min("activity_month").over(Window.partitionBy("customer_id"))
     active = (
-        months.withColumn("cohort_month", first)
-        .groupBy("cohort_month", "activity_month")
+        active_months(t)
+        .select(F.array_min("months").alias("first"), F.explode("months").alias("month"))
+        .groupBy("first", "month")
         .agg(F.count("*").alias("active_customers"))
+        .select(_month_start("first").alias("cohort_month"), _month_start("month").alias("activity_month"), "active_customers")
         .withColumn("months_since_acquisition", months_crossed("cohort_month", "activity_month"))
     )
     founders = F.when(F.col("months_since_acquisition") == 0, F.col("active_customers"))
@@ -242,17 +274,21 @@ def growth_metrics_monthly(t: Tables, p: Params) -> DataFrame:
 
     The window runs over one row per calendar month.
     """
-    monthly = (
-        t["fct_orders"]
+    sums = (
+        order_states(t, "day", "gmv", "orders", "priced", "units")
         .groupBy(month_of("order_date").alias("month"))
         .agg(
-            money_sum("total").alias("gmv"),
-            F.count("*").alias("orders"),
-            F.countDistinct("customer_id").alias("active_customers"),
-            long_sum("items_count").alias("units_sold"),
-            mean("total").alias("avg_order_value"),
+            money_sum("gmv").alias("gmv"),
+            long_sum("orders").alias("orders"),
+            long_sum("units").alias("units_sold"),
+            mean_of("gmv", "priced").alias("avg_order_value"),
         )
     )
+    customers = active_months(t).select(F.explode("months").alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    customers = customers.select(_month_start("m").alias("month"), F.col("n").alias("active_customers"))
+    monthly = sums.join(customers, "month", "left").select(
+        "month", "gmv", "orders", zero_if_null("active_customers").alias("active_customers"), "units_sold", "avg_order_value"
+    )
     line = Window.orderBy("month")
 
     def growth(base: str):
@@ -307,13 +343,16 @@ def customer_ltv_by_segment(t: Tables, p: Params) -> DataFrame:
     if p.approx_median:
         middle = F.percentile_approx(F.col("net_ltv").cast("double"), 0.5).alias("median_net_ltv")
         return customers.groupBy(*key).agg(*measures, middle)
-    segments = customers.groupBy(*key).agg(*measures)
-    medians = exact_median(customers.select(*key, "net_ltv"), key, "net_ltv", "median_net_ltv")
+    # The facts are joined once; measures and bracket come out of one pass over the customers, the median out of another.
+    customers = settle(customers, "customers")
+    segments = settle(customers.groupBy(*key).agg(*measures, *median_bracket("net_ltv")), "segments")
+    brackets = segments.select(*key, "_values", "_low", "_high")
+    medians = bracketed_median(customers.select(*key, "net_ltv"), brackets, key, "net_ltv", "median_net_ltv")
     same = F.lit(True)
     for c in key:
         same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}"))
     return (
-        segments.alias("s").join(medians.alias("m"), same, "left").select("s.*", "m.median_net_ltv")
+        segments.drop("_values", "_low", "_high").alias("s").join(medians.alias("m"), same, "left").select("s.*", "m.median_net_ltv")
     )
 
 

@@ -1,47 +1,64 @@
-"""Incremental load of the order fact into a table partitioned by order month.
+"""Incremental load of the order fact into a versioned table partitioned by order month.
 
-A run adds the orders that are new or have changed. Usually that only appends files.
-If some new row carries an order id the table already holds, the months concerned are
-rewritten without the old rows; all other months stay untouched.
+A run adds the orders that are new, replaces those that have changed and removes those that no longer count. Every row
+carries two hidden numbers: a mark of its key and a digest of its values. They tell what is new or
+changed without reading anything else, and are read only from parts whose keys overlap those of the run. Usually a run
+only adds files; of a changed order the one part that holds it is written anew, all others stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from souk.functions.columns import month_of
 from souk.operators.facts import fct_orders
+from souk.operators.ordered import keep_first
 from souk.operators.staging import Tables
 from souk.params import Params
 from souk.session import settle
+from souk.sources.versions import COMMIT, NO_VALUE, Manifest, Part, VersionedTable
 
 MONTH = "order_month"
+MARK, DIGEST = "_mark", "_digest"
+ZONES = ("order_id", "order_date")
+
+
+def order_table(spark: SparkSession, path: str, key: str = "order_id") -> VersionedTable:
+    return VersionedTable(spark, path, MONTH, (key, *ZONES))
+
+
+def visible(df: DataFrame) -> DataFrame:
+    return df.drop(MARK, DIGEST)
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, with columns added by later runs NULL in older rows; None if there is none."""
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    table = order_table(spark, path)
+    now = table.manifest()
+    return visible(table.read(now)) if now else None
+
+
+def _digest(columns: Sequence[str]) -> Column:
+    """A number for the values of a row. NULLs are left out, so a column that is NULL may as well be missing."""
+    named = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), F.col(c))) for c in sorted(columns)]
+    # Two hashes of 64 bits in one decimal: equal for rows of unequal values about once in 10^38 pairs.
+    one, two = (F.xxhash64(F.lit(seed), *named).cast("decimal(38,0)") for seed in (1, 2))
+    return one * F.lit(1 << 62).cast("decimal(19,0)") + two
 
 
-def _reopen(spark: SparkSession, path: str, old: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """Read the table with its known columns and any new ones, without scanning file footers."""
-    fields = list(old.schema.fields) if old is not None else []
-    fields += [f for f in rows.schema.fields if f.name not in {o.name for o in fields}]
-    return spark.read.schema(StructType(fields)).parquet(path)
+def one_per_key(rows: DataFrame, key: str, newest: Sequence[Column]) -> DataFrame:
+    """The row of each key that comes first in the order ``newest``; remaining ties go by all values."""
+    return keep_first(rows, [key], [*newest, *[F.col(c).desc_nulls_last() for c in rows.columns]])
 
 
-def _append(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(path)
+def _overlapping(now: Manifest, key: str, keys: DataFrame) -> list[Part]:
+    """Parts whose span of keys meets that of the run."""
+    low, high = keys.agg(F.min(key).cast("string"), F.max(key).cast("string")).first()
+    return [p for p in now.parts if low is not None and p.may_hold(key, low, high)]
 
 
 def upsert(
@@ -49,72 +66,66 @@ def upsert(
     path: str,
     rows: DataFrame,
     key: str,
-    target: DataFrame | None = None,
-    counted: Observation | None = None,
+    newest: Sequence[Column] = (),
+    seen: DataFrame | None = None,
+    but: Sequence[str] = ("_loaded_at", MONTH),
+    counted: Callable[[int], None] = lambda n: None,
 ) -> DataFrame:
-    """Add ``rows`` to the month-partitioned table at ``path``, replacing rows of the same key.
+    """Add ``rows`` to the table at ``path``, replacing rows of the same key that differ in other columns than ``but``.
 
-    ``target`` is the table as read before, if the caller has it. ``counted`` receives the
-    number of rows as ``n``.
+    Of several rows of a key in ``rows`` the first in the order ``newest`` counts, ties going by all values. ``seen`` has the keys
+    the run looked at: the table's rows of those among them that ``rows`` lacks are removed. Keys are text; rows without one are
+    left out. ``counted`` is told the number of rows added or changed. Equal runs write nothing the second time.
     """
-    if counted is not None:
-        rows = rows.observe(counted, F.count(F.lit(1)).alias("n"))
-    target = target if target is not None else read_target(spark, path)
-    if target is None:
-        _append(rows, path)
-        return _reopen(spark, path, None, rows)
+    table = order_table(spark, path, key)
+    now = table.manifest()
+    values = [c for c in rows.columns if c not in but]
+    rows = one_per_key(rows.where(F.col(key).isNotNull()), key, newest)
+    rows = rows.withColumns({MARK: F.xxhash64(key), DIGEST: _digest(values)})
+    if now is None:
+        now = table.commit(rows, instead_of=())
+        counted(now.rows())
+        return visible(table.read(now))
     rows = settle(rows, "delta")
-    keys = rows.select(key).distinct()
-    # At most one row per calendar month.
-    clashing = [r[0] for r in target.join(keys, key, "left_semi").select(MONTH).distinct().collect()]
-    if not clashing:
-        _append(rows, path)
-        return _reopen(spark, path, target, rows)
-    touched = sorted({*clashing, *(r[0] for r in rows.select(MONTH).distinct().collect())})
-    kept = target.where(F.col(MONTH).isin(touched)).join(keys, key, "left_anti")
-    # Settled first: the write below replaces files this plan reads.
-    merged = settle(kept.unionByName(rows, allowMissingColumns=True), "merged")
-    (
-        merged.hint("rebalance", MONTH)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH)
-        .parquet(path)
-    )
-    # A clashing month whose rows all moved elsewhere has nothing to write, so it is emptied by name.
-    written = {r[0] for r in merged.select(MONTH).distinct().collect()}
-    for month in set(touched) - written:
-        target.where(F.lit(False)).drop(MONTH).write.mode("overwrite").parquet(f"{path}/{MONTH}={month}")
-    return _reopen(spark, path, target, rows)
-
-
-def changed_rows(rows: DataFrame, target: DataFrame, key: str, but: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose key the target does not hold, or holds with other values; columns ``but`` don't count."""
-    shared = [c for c in rows.columns if c in target.columns and c not in (key, *but)]
-    both = [F.struct(*[F.col(c).cast("string") for c in shared])]
-    mark = F.sha2(F.to_json(*both, {"ignoreNullFields": "false"}), 256)
-    held = target.select(F.col(key).alias("_key"), mark.alias("_held"))
-    same = (F.col(key) == F.col("_key")) & (F.col("_mark") == F.col("_held"))
-    return rows.withColumn("_mark", mark).join(held, same, "left_anti").drop("_mark")
+    keys = rows.select(key, MARK)
+    if seen is not None:
+        lost = seen.select(key).where(F.col(key).isNotNull()).distinct().join(keys, key, "left_anti")
+        lost = settle(lost.withColumn(MARK, F.xxhash64(key)), "lost")
+        keys = keys.unionByName(lost)
+    held = table.read(now, _overlapping(now, key, keys), with_commit=True).select(COMMIT, MONTH, MARK, DIGEST)
+    # One pass over the marks; what it finds is no larger than the run.
+    held = settle(held.join(keys.select(MARK).distinct(), MARK, "left_semi"), "held")
+    fresh = settle(rows.join(held.select(MARK, DIGEST), [MARK, DIGEST], "left_anti"), "fresh")
+    gone = fresh.select(key, MARK)
+    if seen is not None:
+        gone = gone.unionByName(lost.join(held.select(MARK), MARK, "left_semi"))
+    # At most one row per part of the table.
+    month = F.coalesce(F.col(MONTH).cast("string"), F.lit(NO_VALUE)).alias(MONTH)
+    where = held.join(gone.select(MARK), MARK, "left_semi").select(COMMIT, month).distinct()
+    touched = {(r[COMMIT], r[MONTH]) for r in where.collect()}
+    over = [p for p in now.parts if (p.commit, p.value) in touched]
+    added = fresh.count()
+    counted(added)
+    if not over and not added:
+        return visible(table.read(now))
+    out = fresh
+    if over:
+        out = table.read(now, over).join(gone.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return visible(table.read(table.commit(out, instead_of=over, base=now)))
 
 
 def load_orders(
-    t: Tables, p: Params, spark: SparkSession, path: str, counted: Observation | None = None
+    t: Tables, p: Params, spark: SparkSession, path: str, counted: Callable[[int], None] = lambda n: None
 ) -> DataFrame:
     """One run of the order fact: everything at first, afterwards the orders that are new or changed.
 
-    Orders may arrive in any order of dates. With ``lookback_days`` only orders dated after the
-    newest loaded one, less those days, are looked at; the newest date is read first, so that the
-    filter reaches the scan as a constant.
+    Orders may arrive in any order of dates. An order of ``stg_orders`` that no longer counts, because it was cancelled without
+    payment or lost its date, is removed. With ``lookback_days`` only orders dated after the newest loaded
+    one, less those days, are looked at, and none is removed.
     """
-    target = read_target(spark, path)
-    newest = None
-    if target is not None and p.lookback_days is not None:
-        month = target.agg(F.max(MONTH)).first()[0]
-        newest = target.where(F.col(MONTH) == F.lit(month)).agg(F.max("order_date")).first()[0]
-    if newest is not None:
-        newest -= timedelta(days=p.lookback_days)
+    now = order_table(spark, path).manifest()
+    loaded = now.span("order_date") if now is not None and p.lookback_days is not None else None
+    newest = loaded[1] - timedelta(days=p.lookback_days) if loaded else None
     rows = fct_orders(t, p, newer_than=newest).withColumn(MONTH, month_of("order_date"))
-    if target is not None and p.lookback_days is None:
-        rows = changed_rows(rows, target, "order_id", but=("_loaded_at", MONTH))
-    return upsert(spark, path, rows, "order_id", target, counted)
+    seen = t["stg_orders"] if p.lookback_days is None and "stg_orders" in t else None
+    return upsert(spark, path, rows, "order_id", [F.col("order_date").desc()], seen, counted=counted)

@@ -11,8 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.columns import MONEY, flag_sum, long_sum, mean, money_sum, month_of, ratio
+from souk.functions.columns import MONEY, flag_sum, long_sum, mean, money_sum, month_of, ratio, zero_if_null
 from souk.operators.marts import NO_PROMOTION
+from souk.operators.rollups import STATES, mean_of, order_states
 from souk.operators.staging import Tables
 
 # Two-letter to three-letter country codes on the map.
@@ -31,35 +32,44 @@ REGULAR = "regular promo"
 AGGRESSIVE = "aggressive (>=30% / BOGO)"
 
 
-def newest_day(orders: DataFrame) -> Column:
-    """Latest order date as a scalar subquery. Only the latest month's files are read."""
+def newest_day(t: Tables) -> Column:
+    """Latest order date: known for a stored table, otherwise a scalar subquery over its latest month."""
+    known = t.span("fct_orders", "order_date") if hasattr(t, "span") else None
+    if known is not None:
+        return F.lit(known[1])
+    orders = t["fct_orders"]
     if "order_month" in orders.columns:
         latest = orders.agg(F.max("order_month").alias("m")).scalar()
         orders = orders.where(F.col("order_month") == latest)
     return orders.agg(F.max("order_date").alias("d")).scalar()
 
 
-def last_days(orders: DataFrame, days: int) -> DataFrame:
-    """Orders of the last ``days`` days up to the newest order, pruned to their months."""
-    start = F.date_sub(newest_day(orders), days)
-    recent = orders.where(F.col("order_date") > start)
+def last_days(t: Tables, days: int, *measures: str) -> DataFrame:
+    """Partial sums per day of the last ``days`` days up to the newest order; without rollups, pruned to their months."""
+    start = F.date_sub(newest_day(t), days)
+    recent = F.col("order_date") > start
+    kept = t.rollup("day") if hasattr(t, "rollup") else None
+    if kept is not None:
+        return kept.where(recent)
+    orders = t["fct_orders"].where(recent)
     if "order_month" in orders.columns:
-        recent = recent.where(F.col("order_month") >= F.trunc(start, "month"))
-    return recent
+        orders = orders.where(F.col("order_month") >= F.trunc(start, "month"))
+    return STATES["day"](orders, [], measures)
 
 
 # ---- headline numbers -------------------------------------------------------
 
 
 def kpi_overview(t: Tables) -> DataFrame:
-    totals = t["fct_orders"].agg(
-        F.count("*").alias("orders_total"),
-        money_sum("total").alias("gmv"),
-        long_sum("items_count").alias("units_sold"),
-        flag_sum(F.col("order_status") == "returned").alias("returns_total"),
-        flag_sum(F.col("payment_status") == "chargeback").alias("chargebacks_total"),
-        mean("total").alias("avg_order_value"),
-        mean("items_count").alias("avg_units_per_order"),
+    days = order_states(t, "day", "gmv", "orders", "priced", "units", "counted", "returned", "chargebacks")
+    totals = days.agg(
+        zero_if_null(F.sum("orders")).alias("orders_total"),
+        money_sum("gmv").alias("gmv"),
+        long_sum("units").alias("units_sold"),
+        long_sum("returned").alias("returns_total"),
+        long_sum("chargebacks").alias("chargebacks_total"),
+        mean_of("gmv", "priced").alias("avg_order_value"),
+        mean_of("units", "counted").alias("avg_units_per_order"),
     )
     return totals.withColumns(
         {
@@ -70,22 +80,21 @@ def kpi_overview(t: Tables) -> DataFrame:
 
 
 def kpi_30day_summary(t: Tables) -> DataFrame:
-    return last_days(t["fct_orders"], 30).agg(
-        money_sum("total").alias("sales"),
-        long_sum("items_count").alias("units_sold"),
-        flag_sum(F.col("order_status") == "returned").alias("returns_count"),
-        mean("total").alias("aov"),
-        mean("items_count").alias("auo"),
+    return last_days(t, 30, "gmv", "priced", "units", "counted", "returned").agg(
+        money_sum("gmv").alias("sales"),
+        long_sum("units").alias("units_sold"),
+        long_sum("returned").alias("returns_count"),
+        mean_of("gmv", "priced").alias("aov"),
+        mean_of("units", "counted").alias("auo"),
     )
 
 
 def kpi_with_delta_week(t: Tables) -> DataFrame:
     """This week's sales against the week before; no change when there is no base."""
-    orders = t["fct_orders"]
-    this_week = F.col("order_date") > F.date_sub(newest_day(orders), 7)
-    sums = last_days(orders, 14).agg(
-        money_sum(F.when(this_week, F.col("total"))).alias("gmv_this_week"),
-        money_sum(F.when(~this_week, F.col("total"))).alias("gmv_last_week"),
+    this_week = F.col("order_date") > F.date_sub(newest_day(t), 7)
+    sums = last_days(t, 14, "gmv").agg(
+        money_sum(F.when(this_week, F.col("gmv"))).alias("gmv_this_week"),
+        money_sum(F.when(~this_week, F.col("gmv"))).alias("gmv_last_week"),
     )
     change = ratio(F.col("gmv_this_week") - F.col("gmv_last_week"), "gmv_last_week")
     return sums.withColumn("gmv_delta_pct", F.when(F.col("gmv_last_week") > 0, change).otherwise(0.0))
@@ -96,31 +105,25 @@ def kpi_with_delta_week(t: Tables) -> DataFrame:
 
 def gmv_by_day(t: Tables, days: int = 14) -> DataFrame:
     return (
-        last_days(t["fct_orders"], days)
+        last_days(t, days, "gmv", "orders")
         .groupBy(F.col("order_date").alias("order_day"))
-        .agg(money_sum("total").alias("gmv"), F.count("*").alias("orders"))
+        .agg(money_sum("gmv").alias("gmv"), long_sum("orders").alias("orders"))
         .orderBy("order_day")
     )
 
 
 def gmv_by_month(t: Tables) -> DataFrame:
-    peak = F.col("is_black_friday_order") | F.col("is_cyber_monday_order")
     return (
-        t["fct_orders"]
+        order_states(t, "day", "gmv", "orders", "peak_orders")
         .groupBy(month_of("order_date").alias("month"))
-        .agg(
-            money_sum("total").alias("gmv"),
-            F.count("*").alias("orders"),
-            flag_sum(peak).alias("promo_peak_orders"),
-        )
+        .agg(money_sum("gmv").alias("gmv"), long_sum("orders").alias("orders"), long_sum("peak_orders").alias("promo_peak_orders"))
         .orderBy("month")
     )
 
 
 def avg_order_amount_by_weekday(t: Tables) -> DataFrame:
-    orders = t["fct_orders"]
-    this_week = F.col("order_date") > F.date_sub(newest_day(orders), 7)
-    daily = last_days(orders, 14).groupBy("order_date").agg(mean("total").alias("_mean"))
+    this_week = F.col("order_date") > F.date_sub(newest_day(t), 7)
+    daily = last_days(t, 14, "gmv", "priced").groupBy("order_date").agg(mean_of("gmv", "priced").alias("_mean"))
     return daily.select(
         F.date_format("order_date", "E MMM dd").alias("day_label"),
         "order_date",
@@ -133,7 +136,8 @@ def avg_order_amount_by_weekday(t: Tables) -> DataFrame:
 
 
 def _by_country(t: Tables) -> DataFrame:
-    return t["fct_orders"].groupBy("ship_country").agg(money_sum("total").alias("gmv"), F.count("*").alias("orders"))
+    states = order_states(t, "country", "gmv", "orders")
+    return states.groupBy("ship_country").agg(money_sum("gmv").alias("gmv"), long_sum("orders").alias("orders"))
 
 
 def gmv_by_country(t: Tables, iso3: Mapping[str, str] = ISO3) -> DataFrame:
@@ -320,7 +324,7 @@ def ltv_by_segment(t: Tables) -> DataFrame:
 
 
 def monthly_sales_with_ad_spend(t: Tables) -> DataFrame:
-    monthly = t["fct_orders"].groupBy(month_of("order_date").alias("month")).agg(money_sum("total").alias("_sales"))
+    monthly = order_states(t, "day", "gmv").groupBy(month_of("order_date").alias("month")).agg(money_sum("gmv").alias("_sales"))
     spend = [
         (F.col("_sales") * F.lit(share).cast("decimal(3,2)")).cast("decimal(38,4)").alias(name)
         for name, share in AD_SHARES.items()

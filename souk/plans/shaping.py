@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +23,18 @@ def return_rate_matrix(t: Tables, regions: list[str] | None = None) -> DataFrame
     )
 
 
-def cohort_matrix(t: Tables, cohorts: int = 12) -> DataFrame:
+def cohort_matrix(t: Tables, cohorts: int = 12, ages: Sequence[int] | None = None) -> DataFrame:
     """Retention in percent of the latest cohorts, one column per month since acquisition.
 
-    There is a column for every age any cohort of the mart has, at most one per month.
+    By default there is a column for every age any cohort of the mart has, at most one per month; ``ages`` names others.
     """
     mart = t["customer_cohort_retention"]
-    ages = sorted(r[0] for r in mart.select("months_since_acquisition").distinct().collect())
+    if ages is None:
+        ages = sorted(r[0] for r in mart.select("months_since_acquisition").distinct().collect())
     latest = mart.select("cohort_month").distinct().orderBy(F.desc("cohort_month")).limit(cohorts)
-    wide = (
-        mart.join(latest, "cohort_month", "left_semi")
-        .groupBy("cohort_month")
-        .pivot("months_since_acquisition", ages)
-        .agg(F.avg("retention_pct") * 100)
-    )
-    return wide.select("cohort_month", *[F.col(str(a)).alias(f"M{a}") for a in ages]).orderBy("cohort_month")
+    age = F.col("months_since_acquisition")
+    cells = [F.avg(F.when(age == a, F.col("retention_pct") * 100)).alias(f"M{a}") for a in ages]
+    return mart.join(latest, "cohort_month", "left_semi").groupBy("cohort_month").agg(*cells).orderBy("cohort_month")
 
 
 def ltv_matrix(t: Tables) -> DataFrame:

@@ -8,18 +8,20 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
 
 from souk.functions.columns import month_of
 from souk.operators import dimensions, facts, intermediate, marts, staging
-from souk.operators.upsert import load_orders
+from souk.operators.rollups import STATES, refresh, rollup_table
+from souk.operators.upsert import ZONES, load_orders, order_table, visible
 from souk.params import Params
 from souk.session import workspace
-from souk.sources.sinks import register_view, table_path, write_table
+from souk.sources import files
+from souk.sources.sinks import register_view, table_path
+from souk.sources.versions import Manifest, VersionedTable
 
-#: Table of schemas and settings below a warehouse, and the name of the settings in it.
-ABOUT, SETTINGS = "about", "settings"
+#: File below a warehouse that names the version of every table of the last build, and its settings.
+ABOUT = "about.json"
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,7 @@ class Model:
     """A named table: its layer, its builder and how it is kept.
 
     ``kept`` is table, incremental, inline or view. ``month_from`` names a date column whose
-    month becomes the partition ``order_month``.
+    month becomes the partition ``order_month``. ``zones`` are columns whose greatest value is known without a scan.
     """
 
     name: str
@@ -35,14 +37,26 @@ class Model:
     build: Callable[[Mapping[str, DataFrame], Params], DataFrame]
     kept: str = "table"
     month_from: str | None = None
+    zones: tuple[str, ...] = ()
 
     @property
     def stored(self) -> bool:
         return self.kept in ("table", "incremental")
 
 
+#: The column that tells how fresh a staging table is.
+LOADED_AT = {"stg_payments": ("paid_at",)}
+
+
 def _models(module, layer: str, names: str, kept: str = "table") -> list[Model]:
-    return [Model(n, layer, getattr(module, n), kept) for n in names.split()]
+    return [Model(n, layer, getattr(module, n), kept, zones=LOADED_AT.get(n, ())) for n in names.split()]
+
+
+def stored_table(spark: SparkSession, root: str, model: Model) -> VersionedTable:
+    path = table_path(root, model.layer, model.name)
+    if model.kept == "incremental":
+        return order_table(spark, path)
+    return VersionedTable(spark, path, "order_month" if model.month_from else None, model.zones)
 
 
 # In build order: every model only reads models above it.
@@ -65,7 +79,7 @@ CATALOG: dict[str, Model] = {
             "dim_mkt_customer dim_seller dim_product dim_category dim_geography dim_date "
             "dim_carrier dim_payment_method dim_return_reason dim_promotion",
         ),
-        Model("fct_orders", "core", facts.fct_orders, "incremental", "order_date"),
+        Model("fct_orders", "core", facts.fct_orders, "incremental", "order_date", ZONES),
         Model("fct_order_items", "core", facts.fct_order_items, month_from="order_date"),
         *_models(facts, "core", "fct_payments fct_returns fct_reviews fct_shipping_events"),
         *_models(
@@ -108,6 +122,8 @@ class Warehouse(Mapping):
         self._raw = raw
         self._extra = dict(extra or {})
         self._tables: dict[str, DataFrame] = {}
+        self._manifests: dict[str, Manifest] = {}
+        self._rollups: dict[str, Manifest] = {}
         self.rows: dict[str, int] = {}
         self._withheld: set[str] = set()
         self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
@@ -141,30 +157,49 @@ class Warehouse(Mapping):
         if name in self._extra:
             return self._extra[name]()
         model = CATALOG[name]
-        counted = Observation()
-        if model.kept == "incremental" and self.stored and not self.full_refresh:
-            path = table_path(self.root, model.layer, name)
-            table = load_orders(self, self.params, self.spark, path, counted)
-            self.rows[name] = counted.get["n"]
-            return table
-        df = self.build(name)
-        if model.kept == "view":
-            return register_view(df, name)
-        if model.kept == "inline" or not self.stored:
+        if model.kept == "inline" or not (self.stored and model.stored):
+            df = self.build(name)
+            return register_view(df, name) if model.kept == "view" else df
+        table = stored_table(self.spark, self.root, model)
+        if model.kept == "incremental" and not self.full_refresh:
+            df = load_orders(self, self.params, self.spark, table.path, lambda n: self.rows.update({name: n}))
+            self._manifests[name] = table.manifest()
             return df
+        df = self.build(name)
         if model.month_from:
             df = df.withColumn("order_month", month_of(model.month_from))
-        part = "order_month" if model.month_from else None
-        table = write_table(df, self.root, model.layer, name, part, counted)
-        self.rows[name] = counted.get["n"]
-        return table
+        now = self._manifests[name] = table.commit(df)
+        self.rows[name] = now.rows()
+        return visible(table.read(now))
+
+    def span(self, name: str, column: str) -> tuple | None:
+        """Least and greatest value of a column of a stored table, None if they are not known without a scan."""
+        _ = self[name]
+        return self._manifests[name].span(column) if name in self._manifests else None
+
+    def rollup(self, name: str) -> DataFrame | None:
+        """Maintained partial sums of the order fact, brought up to date; None where tables are not stored."""
+        if not self.stored:
+            return None
+        _ = self["fct_orders"]
+        orders = stored_table(self.spark, self.root, CATALOG["fct_orders"])
+        with self._locks[f"rollup {name}"]:
+            if name not in self._rollups:
+                self._rollups[name] = refresh(orders, self._manifests["fct_orders"], name)
+        return rollup_table(orders, name).read(self._rollups[name])
 
     def describe(self) -> None:
-        """Write the schemas of the stored tables and the settings they were built with, for ``StoredTables``."""
-        kept = [(n, t.schema.json()) for n, t in self._tables.items() if n in CATALOG and CATALOG[n].stored]
-        settings = json.dumps({k: v for k, v in asdict(self.params).items() if isinstance(v, (int, bool))})
-        about = self.spark.createDataFrame([*kept, (SETTINGS, settings)], "name string, value string")
-        about.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{ABOUT}")
+        """Write down which versions make up this build, and its settings, for ``StoredTables``.
+
+        The file is replaced in one step, so readers see all tables of one build.
+        """
+        settings = {k: v for k, v in asdict(self.params).items() if isinstance(v, (int, bool))}
+        about = {"settings": settings, "versions": {name: m.version for name, m in self._manifests.items()}}
+        if "fct_orders" in self._manifests and not self.is_withheld("fct_orders"):
+            for name in STATES:
+                self.rollup(name)
+        about["rollups"] = {name: m.version for name, m in self._rollups.items()}
+        files.switch_text(self.spark, f"{self.root}/{ABOUT}", json.dumps(about))
 
     def __iter__(self) -> Iterator[str]:
         return iter(CATALOG)
@@ -176,8 +211,8 @@ class Warehouse(Mapping):
 class StoredTables(Mapping):
     """The tables an earlier build left at ``root``, read only. Views are computed on reading.
 
-    Schemas and settings come from what the build wrote down, in one read at the start, and
-    frames are kept, so asking for a table opens no file.
+    Versions and settings come from what the build wrote down, in one read at the start, and frames are kept, so asking
+    for a table starts no job. A build under way does not change what is read, the next one but one does: ``refresh``.
     """
 
     def __init__(
@@ -185,14 +220,20 @@ class StoredTables(Mapping):
     ):
         self.spark, self.root, self._extra = spark, root, dict(extra or {})
         self._tables: dict[str, DataFrame] = {}
+        self._manifests: dict[str, Manifest] = {}
         self.refresh()
 
     def refresh(self) -> None:
         """Read again what the last build wrote down."""
-        about = {r["name"]: r["value"] for r in self.spark.read.parquet(f"{self.root}/{ABOUT}").collect()}
-        self.params = Params(**json.loads(about.pop(SETTINGS)))
-        self._schemas = {name: StructType.fromJson(json.loads(schema)) for name, schema in about.items()}
+        written = files.read_text(self.spark, f"{self.root}/{ABOUT}")
+        if written is None:
+            raise FileNotFoundError(f"no finished build at {self.root}")
+        about = json.loads(written)
+        self.params = Params(**about["settings"])
+        self._versions: dict[str, int] = about["versions"]
+        self._rollups: dict[str, int] = about["rollups"]
         self._tables.clear()
+        self._manifests.clear()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._extra:
@@ -201,10 +242,25 @@ class StoredTables(Mapping):
         if not model.stored:
             return model.build(self, self.params)
         if name not in self._tables:
-            reader = self.spark.read.schema(self._schemas[name])
-            self._tables[name] = reader.parquet(table_path(self.root, model.layer, name))
+            table = stored_table(self.spark, self.root, model)
+            self._manifests[name] = table.manifest(self._versions[name])
+            self._tables[name] = visible(table.read(self._manifests[name]))
         return self._tables[name]
 
+    def span(self, name: str, column: str) -> tuple | None:
+        """Least and greatest value of a column of a stored table, None if they are not known without a scan."""
+        _ = self[name]
+        return self._manifests[name].span(column) if name in self._manifests else None
+
+    def rollup(self, name: str) -> DataFrame | None:
+        """Partial sums of the order fact as of the last build, None if it kept none."""
+        if name not in self._rollups:
+            return None
+        table = rollup_table(stored_table(self.spark, self.root, CATALOG["fct_orders"]), name)
+        if f"rollup {name}" not in self._tables:
+            self._tables[f"rollup {name}"] = table.read(table.manifest(self._rollups[name]))
+        return self._tables[f"rollup {name}"]
+
     def __iter__(self) -> Iterator[str]:
         return iter(CATALOG)
 

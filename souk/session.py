@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from math import ceil
@@ -9,7 +11,10 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.sources import files
+
 _local_roots: dict[str, str] = {}
+_ending: set[str] = set()
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -29,7 +34,7 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 
 
 def workspace(spark: SparkSession) -> str:
-    """Folder, visible to all executors, for tables this application writes.
+    """Folder, visible to all executors, for tables this application writes, removed when it ends.
 
     It lies below ``spark.checkpoint.dir``. Only a local master may fall back to a
     temporary folder, because on a cluster executors could not read each other's.
@@ -42,7 +47,22 @@ def workspace(spark: SparkSession) -> str:
         if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="souk-")
         root = _local_roots[app]
-    return f"{root.rstrip('/')}/souk/{app}"
+    path = f"{root.rstrip('/')}/souk/{app}"
+    if app not in _ending:
+        _ending.add(app)
+        atexit.register(_remove_steps, spark, path)
+    return path
+
+
+def _remove_steps(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the application may have stopped; what it could not remove stays
+            files.remove(spark, f"{path}/steps")
+
+
+def release(settled: DataFrame) -> None:
+    """Remove the copy of a settled frame that no plan will read again."""
+    files.remove(settled.sparkSession, settled._souk_path)
 
 
 def size_shuffles(spark: SparkSession, folder: str, partition_bytes: int = 128 * 1024 * 1024) -> int:
@@ -65,4 +85,6 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = f"{workspace(df.sparkSession)}/steps/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._souk_path = path
+    return settled

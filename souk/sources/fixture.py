@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from souk.operators.jobs import calendar
 from souk.operators.ordered import number_rows
+from souk.operators.quality import Check, declared_checks
 from souk.sources.raw import RAW_COLUMNS, read_parquet
 from souk.sources.sinks import write_table
 
@@ -40,12 +41,27 @@ RETURN_REASONS = [
     ("color_different", "Color different from photo", "fit_issue", "true"),
     ("changed_mind", "Changed my mind", "customer_driven", "false"),
 ]
+# The codes the derived tables hold, where they are not the marketplace's own.
+REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+CATEGORY_NAMES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+RAW_STATUSES = ("Delivered", "Shipped", "Processing", "Cancelled", "Returned")
+RAW_EVENT_TYPES = ("Order_Created", "label_printed", "handed_to_carrier", "in_transit", "delivered")
+MAP_CODES = {f"N{n:02d}": f"C{n:02d}" for n in range(15)}
+WATCHED = ("N02", "N05", "N07", "N11", "N19")
+#: Months from a customer's first order to any other: orders lie between January 1992 and August 1998.
+ORDER_AGES = range(80)
+
 LINE_ORDER = (
     "l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_shipdate l_discount l_tax "
     "l_returnflag l_linestatus"
 ).split()
 
 
+def fixture_checks() -> list[Check]:
+    """The declared suite with the value lists of the derived tables."""
+    return declared_checks(REGION_NAMES, CATEGORY_NAMES, RAW_STATUSES, RAW_EVENT_TYPES)
+
+
 def _code(prefix: str, number: Column | str, width: int) -> Column:
     number = F.col(number) if isinstance(number, str) else number
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))

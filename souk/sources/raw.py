@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from souk.sources.quoted_csv import read_quoted_csv
+
 # The column layout of the raw files.
 RAW_COLUMNS: dict[str, str] = {
     "orders": "order_id customer_id order_date status ship_date delivered_date ship_country "
@@ -39,8 +41,7 @@ def raw_schema(name: str) -> StructType:
 CSV_OPTIONS = {"header": "true", "enforceSchema": "false", "quote": '"', "escape": '"'}
 
 
-# Tables whose free text may hold line breaks. A file of these is read by one task, so large ones
-# should come in many files.
+# Tables whose free text may hold line breaks.
 MULTI_LINE = ("reviews", "customers", "sellers", "products", "promotions")
 
 #: Holds a line that has another number of fields than its table, or cannot be read at all.
@@ -51,39 +52,56 @@ def _with_corrupt(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
-def _read_lines(spark: SparkSession, folder: str, name: str, multi_line: bool) -> DataFrame:
-    reader = spark.read.schema(_with_corrupt(raw_schema(name))).options(**CSV_OPTIONS)
-    reader = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-    return reader.csv(f"{folder}/{name}.csv")
+class CsvSource:
+    """The raw tables of a folder of CSV files as text, each from a file or a folder of them.
+
+    ``multi_line`` names the tables whose quoted fields may hold line breaks. Malformed lines are left out of the tables; ``rejects``
+    has them whole.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, multi_line: Collection[str] = MULTI_LINE):
+        self.spark, self.folder, self.multi_line = spark, folder, multi_line
+        self._lines: dict[str, DataFrame] = {}
+
+    def lines(self, name: str) -> DataFrame:
+        if name not in self._lines:
+            self._lines[name] = self._read(name)
+        return self._lines[name]
+
+    def _read(self, name: str) -> DataFrame:
+        path, schema = f"{self.folder}/{name}.csv", _with_corrupt(raw_schema(name))
+        if name in self.multi_line:
+            return read_quoted_csv(self.spark, path, schema, CORRUPT)
+        reader = self.spark.read.schema(schema).options(**CSV_OPTIONS)
+        return reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.lines(name).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+    def rejects(self) -> DataFrame:
+        """(table, line): the malformed lines of all raw tables, whole."""
+        found = None
+        for name in RAW_COLUMNS:
+            lines = self.lines(name).where(F.col(CORRUPT).isNotNull())
+            # Spark wants a query to ask for more than the malformed line.
+            line = F.coalesce(CORRUPT, RAW_COLUMNS[name].split()[0])
+            part = lines.select(F.lit(name).alias("table"), line.alias("line"))
+            found = part if found is None else found.unionByName(part)
+        return found
 
 
 def read_raw(spark: SparkSession, folder: str, name: str, multi_line: bool | None = None) -> DataFrame:
-    """One raw table as text, from a CSV file or a folder of them, without malformed lines.
+    """One raw table as text, without malformed lines.
 
     ``multi_line`` says whether quoted fields may hold line breaks; by default those of the tables
-    in ``MULTI_LINE`` may. ``read_rejects`` has the malformed lines.
+    in ``MULTI_LINE`` may.
     """
     multi_line = name in MULTI_LINE if multi_line is None else multi_line
-    lines = _read_lines(spark, folder, name, multi_line)
-    return lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-
-
-def read_rejects(spark: SparkSession, folder: str, multi_line: Collection[str] = MULTI_LINE) -> DataFrame:
-    """(table, line): the malformed lines of all raw tables, whole."""
-    found = None
-    for name in RAW_COLUMNS:
-        lines = _read_lines(spark, folder, name, name in multi_line).where(F.col(CORRUPT).isNotNull())
-        # Spark wants a query to ask for more than the malformed line.
-        line = F.coalesce(CORRUPT, RAW_COLUMNS[name].split()[0])
-        part = lines.select(F.lit(name).alias("table"), line.alias("line"))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def csv_source(
-    spark: SparkSession, folder: str, multi_line: Collection[str] = MULTI_LINE
-) -> Callable[[str], DataFrame]:
-    return lambda name: read_raw(spark, folder, name, name in multi_line)
+    return CsvSource(spark, folder, [name] if multi_line else [])(name)
+
+
+def csv_source(spark: SparkSession, folder: str, multi_line: Collection[str] = MULTI_LINE) -> CsvSource:
+    return CsvSource(spark, folder, multi_line)
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame
+
+from souk.sources.versions import VersionedTable
 
 
 def table_path(root: str, layer: str, name: str) -> str:
@@ -16,23 +19,11 @@ def write_table(
     layer: str,
     name: str,
     partition_by: str | None = None,
-    rows: Observation | None = None,
+    zones: Collection[str] = (),
 ) -> DataFrame:
-    """Replace a layer table and return a frame that reads it.
-
-    A partitioned table is rebalanced on its partition column first: adaptive execution
-    then merges small months into one file each and splits a hot month over many tasks.
-    ``rows`` receives the number of rows as ``n`` on the way, which saves a count.
-    """
-    path = table_path(root, layer, name)
-    out = df.observe(rows, F.count(F.lit(1)).alias("n")) if rows is not None else df
-    if partition_by:
-        out = out.hint("rebalance", partition_by)
-    writer = out.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Replace a layer table by a new version and return a frame that reads it."""
+    table = VersionedTable(df.sparkSession, table_path(root, layer, name), partition_by, zones)
+    return table.read(table.commit(df))
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:

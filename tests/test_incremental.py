@@ -1,14 +1,19 @@
 import glob
+import os
 from collections import ChainMap
 from datetime import date, datetime
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from souk.operators import upsert as u
 from souk.params import Params
-from souk.streaming.orders import ingest_orders
-from tests.helpers import frame, raw, values
+from souk.sources import files
+from souk.sources.versions import ConcurrentWrite, VersionedTable
+from souk.streaming.orders import ingest_orders, ingest_orders_and_payments
+from tests.helpers import frame, plan, raw, values
 from tests.test_models import P, fact_inputs, order
 
 
@@ -37,10 +42,10 @@ def test_unchanged_orders_are_not_written_again(spark, tmp_path):
     path = str(tmp_path / "orders")
     orders = [order("a", day=date(2024, 1, 5)), order("b", day=date(2024, 2, 10), ship_date=None)]
     load(spark, path, orders)
-    before = set(glob.glob(f"{path}/*/*.parquet"))
+    before = set(glob.glob(f"{path}/data/*/*/*.parquet"))
     later = Params(as_of_date=P.as_of_date, loaded_at=datetime(2030, 1, 1))
     load(spark, path, orders, later)
-    assert set(glob.glob(f"{path}/*/*.parquet")) == before
+    assert set(glob.glob(f"{path}/data/*/*/*.parquet")) == before
 
 
 def test_strict_run_adds_only_newer_orders(spark, tmp_path):
@@ -76,14 +81,14 @@ def test_lookback_reopens_days_without_duplicates(spark, tmp_path):
 def test_order_moved_to_a_later_month_replaces_the_old_row(spark, tmp_path):
     path = str(tmp_path / "orders")
     load(spark, path, [order("a", day=date(2024, 1, 5)), order("x", day=date(2023, 12, 1)), order("b", day=date(2024, 2, 1))])
-    untouched = set(glob.glob(f"{path}/order_month=2023-12-01/*.parquet"))
+    untouched = set(glob.glob(f"{path}/data/*/order_month=2023-12-01/*.parquet"))
     got = load(spark, path, [order("a", day=date(2024, 3, 5), total="3")])
     assert values(got, "order_id", "order_date") == [
         ("a", date(2024, 3, 5)),
         ("b", date(2024, 2, 1)),
         ("x", date(2023, 12, 1)),
     ]
-    assert untouched == set(glob.glob(f"{path}/order_month=2023-12-01/*.parquet"))
+    assert untouched == set(glob.glob(f"{path}/data/*/order_month=2023-12-01/*.parquet"))
 
 
 def test_new_columns_are_null_in_old_rows(spark, tmp_path):
@@ -140,3 +145,196 @@ def test_stream_loads_each_file_once(spark, tmp_path):
     (inbox / "4.csv").write_text(header + "".join(row.format(o, d) for o, d in days.items()))
     want = {"a": date(2024, 1, 5), "b": date(2024, 2, 6)} | {o: date.fromisoformat(d) for o, d in days.items()}
     assert run() == sorted(want.items())
+
+
+# ---- one row per key, and keys that go ----------------------------------------------------------
+
+
+def monthly(spark, schema, *rows):
+    return frame(spark, schema, *rows).withColumn("order_month", F.trunc("day", "month"))
+
+
+def test_a_key_repeated_in_one_batch_is_one_row(spark, tmp_path):
+    path = str(tmp_path / "t")
+    kinds = "order_id string, day date, v int"
+    u.upsert(spark, path, monthly(spark, kinds, ("O1", date(2024, 4, 1), 1), ("O2", date(2024, 4, 2), 1)), "order_id")
+    twice = monthly(spark, kinds, ("O1", date(2024, 5, 1), 3), ("O1", date(2024, 6, 1), 4), ("O3", date(2024, 6, 1), 5), ("O3", date(2024, 6, 1), 5))
+    for _ in range(2):
+        got = u.upsert(spark, path, twice, "order_id", [F.desc("day")])
+        assert values(got, "order_id", "v") == [("O1", 4), ("O2", 1), ("O3", 5)]
+    first = monthly(spark, kinds, ("A", date(2024, 5, 1), 3), ("A", date(2024, 6, 1), 4), (None, date(2024, 6, 1), 4))
+    assert values(u.upsert(spark, str(tmp_path / "first"), first, "order_id", [F.asc("day")]), "order_id", "v") == [("A", 3)]
+
+
+def test_an_order_that_no_longer_counts_is_removed(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    day = date(2024, 1, 5)
+    start = fact_inputs(spark, [order("a", day=day), order("b", day=day), order("c", day=date(2024, 2, 1))])
+    u.load_orders(start, P, spark, path)
+    # b has been cancelled without payment: staging still has it, the clean orders don't. The run says nothing about c.
+    now = fact_inputs(spark, [order("a", day=day)])
+    now["stg_orders"] = frame(spark, "order_id string", ("a",), ("b",), ("unknown",))
+    told = []
+    for _ in range(2):
+        assert values(u.load_orders(now, P, spark, path, told.append), "order_id") == [("a",), ("c",)]
+    assert told == [0, 0]
+
+
+def test_only_the_part_of_a_changed_order_is_written_anew(spark, tmp_path):
+    path = str(tmp_path / "t")
+    kinds = "order_id string, day date, v int"
+    days = [date(2024, m, 3) for m in (1, 2, 3)]
+    u.upsert(spark, path, monthly(spark, kinds, *[(f"k{n}", d, n) for n, d in enumerate(days)]), "order_id")
+    u.upsert(spark, path, monthly(spark, kinds, ("k1b", days[1], 7)), "order_id")
+    table = u.order_table(spark, path)
+    before = set(table.manifest().parts)
+    got = u.upsert(spark, path, monthly(spark, kinds, ("k1", days[1], 9)), "order_id")
+    assert values(got, "order_id", "v") == [("k0", 0), ("k1", 9), ("k1b", 7), ("k2", 2)]
+    gone = before - set(table.manifest().parts)
+    assert [(p.value, p.rows) for p in gone] == [("2024-02-01", 1)]
+
+
+def test_new_keys_read_no_part_they_cannot_be_in(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    kinds = "order_id string, day date, v int"
+    u.upsert(spark, path, monthly(spark, kinds, *[(f"k{n:04d}", date(2024, 1 + n // 100, 3), n) for n in range(1200)]), "order_id")
+    read = []
+    plain = VersionedTable.read
+    monkeypatch.setattr(VersionedTable, "read", lambda self, m=None, parts=None, **kw: read.append((parts, kw)) or plain(self, m, parts, **kw))
+
+    def rows_read(*rows):
+        read.clear()
+        u.upsert(spark, path, monthly(spark, kinds, *rows), "order_id")
+        return sum(p.rows for parts, kw in read if parts is not None and kw for p in parts)
+
+    # Keys after all others read nothing; one that may be in one month reads the marks of that month.
+    assert rows_read(*[(f"k{n}", date(2024, 12, 5), n) for n in range(2000, 2300)]) == 0
+    assert rows_read(("k0150x", date(2024, 12, 5), 1)) == 100
+    assert u.read_target(spark, path).count() == 1501
+
+
+def test_marks_alone_are_read_to_find_changes(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    kinds = "order_id string, day date, v int, note string"
+    rows = monthly(spark, kinds, *[(f"k{n}", date(2024, 1, 3), n, "text") for n in range(50)])
+    u.upsert(spark, path, rows, "order_id")
+    plans = []
+    settle = u.settle
+    monkeypatch.setattr(u, "settle", lambda df, label="step": plans.append((label, plan(df))) or settle(df, label))
+    u.upsert(spark, path, rows, "order_id")
+    held = next(p for label, p in plans if label == "held")
+    assert "struct<_mark:bigint,_digest:decimal(38,0)>" in held and "note" not in held
+
+
+# ---- versions -----------------------------------------------------------------------------------
+
+
+def numbers(spark, *n):
+    return frame(spark, "n int", *[(x,) for x in n])
+
+
+def test_a_write_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path / "t"), zones=("n",))
+    table.commit(numbers(spark, 1, 2))
+    # It dies while tasks write, and before the manifest is there.
+    with pytest.raises(Exception, match="broken"):
+        table.commit(numbers(spark, 3).select(F.raise_error(F.lit("broken")).cast("int").alias("n")))
+    with monkeypatch.context() as m:
+        m.setattr(files, "create_text", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            table.commit(numbers(spark, 4))
+    assert values(table.read()) == [(1,), (2,)]
+    assert len(table.remove_strays()) == 2
+    assert values(table.read()) == [(1,), (2,)]
+    assert table.manifest().span("n") == ("1", "2")
+    table.commit(numbers(spark, 5))
+    assert values(table.read()) == [(5,)]
+
+
+def test_old_versions_are_readable_once_more_and_then_removed(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.commit(numbers(spark, 1))
+    first = table.read()
+    table.commit(numbers(spark, 2))
+    assert values(first) == [(1,)] and values(table.read(table.manifest(1))) == [(1,)]
+    table.commit(numbers(spark, 3))
+    assert values(table.read()) == [(3,)] and table.manifest(1) is None
+    assert len(os.listdir(tmp_path / "t" / "data")) == 2
+    assert sorted(n for n in os.listdir(tmp_path / "t" / "versions") if n.endswith(".json")) == ["00000002.json", "00000003.json"]
+
+
+def test_the_second_of_two_writers_is_told(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    base = table.commit(numbers(spark, 1))
+    table.commit(numbers(spark, 2), instead_of=(), base=base)
+    with pytest.raises(ConcurrentWrite):
+        table.commit(numbers(spark, 3), instead_of=(), base=base)
+    # Both looked before either wrote: the manifest of a number can be added once.
+    now = table.manifest()
+    monkeypatch.setattr(table, "manifest", lambda version=None: base)
+    with pytest.raises(ConcurrentWrite):
+        table.commit(numbers(spark, 4), instead_of=(), base=base)
+    monkeypatch.undo()
+    assert values(table.read()) == [(1,), (2,)] and table.manifest() == now
+
+
+# ---- payments in files of their own ---------------------------------------------------------------
+
+
+def test_a_late_payment_changes_the_stored_order(spark, tmp_path):
+    inbox, paybox, target = tmp_path / "inbox", tmp_path / "paybox", str(tmp_path / "target")
+    inbox.mkdir()
+    paybox.mkdir()
+    head = "order_id,customer_id,order_date,status,ship_date,delivered_date,ship_country,carrier_id,carrier,promotion_id,items_count,subtotal,shipping_cost,total\n"
+    pay_head = "payment_id,order_id,method,status,amount,currency,paid_at\n"
+
+    def others(name):
+        rows = {"dates": [{"date_key": "2024-01-01", "is_black_friday": "false", "is_cyber_monday": "false"}]}
+        return raw(spark, name, *rows.get(name, [{}]))
+
+    def run():
+        ingest_orders_and_payments(
+            spark, str(inbox), str(paybox), others, target, str(tmp_path / "checkpoint"), Params(loaded_at=datetime(2024, 1, 1))
+        ).awaitTermination()
+        got = u.read_target(spark, target)
+        return values(got, "order_id", "order_status", "payment_status", "payment_amount", "has_payment_amount_mismatch")
+
+    row = "{},c,2024-01-05,{},,,US,,,,1,1,0,10\n"
+    (inbox / "1.csv").write_text(head + row.format("a", "shipped") + row.format("b", "cancelled") + row.format("c", "shipped") + "broken\n")
+    (paybox / "1.csv").write_text(pay_head + "p7,c,pix,captured,10,usd,\np9,early,pix,captured,10,usd,\n")
+    assert run() == [("a", "shipped", None, None, True), ("c", "shipped", "captured", Decimal("10.00"), False)]
+    # Payments for a stored order, for one left out as cancelled and unpaid, and an earlier id for c; the order of p9 arrives.
+    (paybox / "2.csv").write_text(pay_head + "p1,a,pix,captured,9,usd,\np2,b,pix,refunded,10,usd,\np3,c,pix,chargeback,10,usd,\np8,c,pix,captured,10,usd,\n")
+    (inbox / "2.csv").write_text(head + row.format("early", "delivered"))
+    want = [
+        ("a", "shipped", "captured", Decimal("9.00"), True),
+        ("b", "cancelled", "refunded", Decimal("10.00"), False),
+        ("c", "shipped", "chargeback", Decimal("10.00"), False),
+        ("early", "delivered", "captured", Decimal("10.00"), False),
+    ]
+    assert run() == want
+    before = u.order_table(spark, target).manifest()
+    (paybox / "3.csv").write_text((paybox / "2.csv").read_text())
+    assert run() == want and u.order_table(spark, target).manifest() == before
+    rejects = spark.read.parquet(f"{target}_rejects")
+    assert values(rejects, "line") == [("broken",)]
+
+
+def test_an_order_and_its_correction_in_two_files_of_one_batch(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    head = "order_id,customer_id,order_date,status,ship_date,delivered_date,ship_country,carrier_id,carrier,promotion_id,items_count,subtotal,shipping_cost,total\n"
+    row = "{},c,{},shipped,,,US,,,,1,1,0,{}\n"
+    (inbox / "z.csv").write_text(head + row.format("a", "2024-06-05", 1) + row.format("b", "2024-01-05", 1) + row.format("b", "2024-01-04", 2) + row.format("", "2024-01-04", 2))
+    os.utime(inbox / "z.csv", (1_700_000_000, 1_700_000_000))
+    (inbox / "y.csv").write_text(head + row.format("a", "2024-05-05", 3))
+
+    def others(name):
+        rows = {"dates": [{"date_key": "2024-01-01", "is_black_friday": "false", "is_cyber_monday": "false"}]}
+        return raw(spark, name, *rows.get(name, [{}]))
+
+    target = str(tmp_path / "target")
+    ingest_orders(spark, str(inbox), others, target, str(tmp_path / "checkpoint"), Params(loaded_at=datetime(2024, 1, 1))).awaitTermination()
+    got = [(o, d, int(v)) for o, d, v in values(u.read_target(spark, target), "order_id", "order_date", "total")]
+    assert got == [("a", date(2024, 5, 5), 3), ("b", date(2024, 1, 4), 2)]
+    assert spark.read.parquet(f"{target}_rejects").count() == 1

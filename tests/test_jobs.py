@@ -1,8 +1,13 @@
 import hashlib
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
+from decimal import Decimal
+
+import pytest
 
 from souk.operators import jobs
+from souk.operators.sweep import first_open
 from souk.params import Params
 from souk.plans import payloads
 from tests.helpers import frame, plan, values
@@ -63,18 +68,57 @@ def test_aggressive_rule(spark):
     ]
 
 
-def test_payload_json_and_signature(spark):
-    sheet = frame(
+def test_documents_nest_records_and_keep_nulls(spark):
+    mart = frame(
         spark,
-        "section string, fact string, position bigint, field string, number double, text string",
-        ("s", "totals", 1, "rate", 1 / 3, None), ("s", "best", 2, "name", None, "b"), ("s", "best", 1, "name", None, "a"),
+        "category string, region string, orders_total bigint, returns_total bigint, return_rate double, gmv_loss_rate double, refund_total decimal(38,2)",
+        ("Books", "Europe", 10, 1, 0.1, 1 / 3, Decimal("5.00")), ("Toys", None, 4, 2, 0.5, 0.25, Decimal("1.50")),
     )
-    doc = payloads.as_json(sheet)
-    text = doc.first()["payload"]
-    assert json.loads(text) == [
-        {"fact": "best", "position": 1, "field": "name", "value": "a"},
-        {"fact": "best", "position": 2, "field": "name", "value": "b"},
-        {"fact": "totals", "position": 1, "field": "rate", "value": "0.333333"},
-    ]
-    expected = hashlib.sha256(f"s:{text}".encode()).hexdigest()[:16]
-    assert payloads.signature(doc).first()["signature"] == expected
+    found = payloads.returns_document({"category_region_return_rate": mart})
+    text = found.first()["payload"]
+    read = json.loads(text)
+    assert list(read) == sorted(read)
+    assert read["global_avg_return_rate"] == 0.3 and read["global_total_refunds"] == 6.5
+    assert [r["category"] for r in read["top_5_offenders"]] == ["Toys", "Books"]
+    assert read["top_5_offenders"][0]["region"] is None
+    assert read["top_5_offenders"][1] == {
+        "category": "Books", "gmv_loss_rate": 0.333333, "orders_total": 10, "refund_total": 5.0, "region": "Europe",
+        "return_rate": 0.1, "returns_total": 1,
+    }
+    assert [r["return_rate"] for r in read["bottom_3_safe_zones"]] == [0.1, 0.5]
+    expected = hashlib.sha256(('{"payload":' + text + ',"section":"returns"}').encode()).hexdigest()[:16]
+    assert payloads.signature(found).first()["signature"] == expected
+
+
+def test_documents_of_empty_tables(spark):
+    mart = frame(
+        spark,
+        "category string, region string, orders_total bigint, returns_total bigint, return_rate double, gmv_loss_rate double, refund_total decimal(38,2)",
+    )
+    read = json.loads(payloads.returns_document({"category_region_return_rate": mart}).first()["payload"])
+    assert read == {
+        "anomalies_vs_baseline": [], "bottom_3_safe_zones": [], "global_avg_return_rate": None, "global_total_refunds": 0, "top_5_offenders": [],
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_sweep_equals_looking_at_every_interval(spark, seed):
+    rng = random.Random(seed)
+    base = datetime(2024, 1, 1)
+    moment = lambda: base + timedelta(minutes=rng.randint(0, 400))
+    intervals = [(f"k{n:02d}", *((a, b) if rng.random() < 0.9 else (b, a))) for n in range(40) for a, b in [sorted((moment(), moment()))]]
+    intervals += [("open", None, base), ("same", base, base), ("sama", base, base), ("all", base - timedelta(days=9), base - timedelta(days=8))]
+    points = [(moment(),) for _ in range(200)] + [(base,), (None,)] + [(i[1],) for i in intervals if i[1]]
+    shorts = frame(spark, "key string, a timestamp_ntz, b timestamp_ntz", *intervals)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["at"]: (r["n_open"], r["first_open"]) for r in first_open(frame(spark, "at timestamp_ntz", *points), "at", shorts, "a", "b", "key").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {}
+    for (at,) in points:
+        if at is not None:
+            held = sorted((a, k) for k, a, b in intervals if a is not None and a <= at <= b)
+            want[at] = (len(held), held[0][1] if held else None)
+    assert got == want
