@@ -7,7 +7,7 @@ two texts share their last name only if they are equal: no hash is compared.
 
 Sorting is a range partitioning by block *and* row, so one block that fills a third of the table
 is spread over many tasks. Equal blocks that meet a slice border are recognised by comparing the
-first block of a slice with the last one before it: two rows per slice are all the driver sees.
+first block of a slice with the last one before it, in a table of two rows per slice.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import SPACES, whole_text
 from souk.session import settle
 
 BLOCK = 1024
+_HEAD = "doc_id bigint, sha string"
 
 
 def _runs(keys: list[str]):
@@ -53,29 +54,49 @@ def _runs(keys: list[str]):
     return number
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace the key columns by one integer name per distinct key, in sort order."""
-    order = [F.col(c) for c in [*keys, "row", "pos"]]
-    kinds = "string" if keys == ["block"] else "bigint"
+def _hash(key: Column | str) -> Column:
+    return F.xxhash64(key)
+
+
+def _bases(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(slice, base, clash): the name of each slice's first run, from the two edge rows of every slice.
+
+    A clash is a border inside one hash at which two different blocks meet: there equal blocks may lie apart.
+    """
+    edge = runs.where("edge > 0").select("slice", "edge", "run", F.struct(*keys).alias("key"))
+    first = edge.where("edge = 1").select("slice", F.col("key").alias("first"))
+    slices = edge.where("edge = 2").select("slice", "run", F.col("key").alias("last")).join(first, "slice")
+    # One small row per slice, so one task takes them all.
+    line = Window.orderBy("slice")
+    before = F.lag("last").over(line)
+    slices = slices.withColumn("fresh", (before.isNotNull() & (before != F.col("first"))).cast("int"))
+    slices = slices.withColumn("clash", F.coalesce((F.col("fresh") == 1) & (_hash(before) == _hash(F.col("first"))), F.lit(False)))
+    base = F.sum(F.col("run") + F.col("fresh")).over(line) - F.col("run")
+    return slices.select("slice", base.alias("base"), "clash")
+
+
+def _named(rows: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
+    """Replace the key columns by one integer name per distinct key, in one order of the keys.
+
+    Blocks are ordered by a hash first, so the sample that finds the slices holds no text. Where two blocks of one hash
+    meet at the border of a slice, the order is that of the blocks themselves.
+    """
+    blocks = keys == ["block"]
+    sampled = [_hash("block")] if blocks and not exact else [F.col(c) for c in keys]
+    place = [F.col("row"), F.col("pos")]
+    kinds = "string" if blocks else "bigint"
     rows = rows.select("row", "pos", "n", F.to_json("head").alias("head"), *keys)
-    sliced = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
+    sliced = rows.repartitionByRange(*sampled, *place).sortWithinPartitions(*sampled, *keys, *place).withColumn("slice", F.spark_partition_id())
     schema = f"row bigint, pos bigint, n bigint, head string, slice int, {', '.join(f'{k} {kinds}' for k in keys)}, run bigint, edge tinyint"
     runs = settle(sliced.mapInPandas(_runs(keys), schema), "names")
-    first: dict[int, tuple] = {}
-    final: dict[int, tuple] = {}
-    for r in runs.where("edge > 0").select("slice", "edge", "run", *keys).collect():
-        (first if r["edge"] == 1 else final)[r["slice"]] = (r["run"], tuple(r[k] for k in keys))
-    bases, before, name = [], None, -1
-    for s in sorted(final):
-        base = name if first[s][1] == before else name + 1
-        bases.append((s, base))
-        name, before = base + final[s][0], final[s][1]
-    at = rows.sparkSession.createDataFrame(bases, "slice int, base bigint")
+    at = settle(_bases(runs, keys), "bases")
+    if blocks and not exact and not at.where("clash").isEmpty():
+        return _named(rows.withColumn("head", F.from_json("head", _HEAD)), keys, exact=True)
     return runs.where("edge < 2").join(at, "slice").select(
         "row",
         "pos",
         "n",
-        F.from_json("head", "doc_id bigint, sha string").alias("head"),
+        F.from_json("head", _HEAD).alias("head"),
         (F.col("base") + F.col("run")).alias("name"),
     )
 

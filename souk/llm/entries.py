@@ -18,13 +18,14 @@ from souk.llm.secrets import span_text, with_secrets
 from souk.llm.simhash_neardup import hex_fingerprint, near_duplicates
 from souk.llm.site_style_tree import main_texts
 from souk.llm.spelling_variants import runs_of_letters, spelling_forms
-
+from souk.session import ship
 
 #: Any key gives the same kind of result; a deployment brings its own, kept out of the code.
 PSEUDONYM_KEY = "example"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

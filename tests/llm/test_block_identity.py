@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from souk.llm import block_identity
 from souk.llm.block_identity import block_identities, exact_groups, without_copies
 from tests.llm.tables import AWKWARD, documents, prose, rows_of
 
@@ -51,6 +53,29 @@ def test_a_hot_block_crosses_slices(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_blocks_of_one_hash_are_told_apart(spark, monkeypatch):
+    # All blocks hash alike, so they lie in the order of their rows and meet at every border.
+    monkeypatch.setattr(block_identity, "_hash", lambda key: F.lit(1).cast("bigint"))
+    clashes = []
+    bases = block_identity._bases
+
+    def seen(runs, keys):
+        found = bases(runs, keys)
+        clashes.append(keys == ["block"] and not found.where("clash").isEmpty())
+        return found
+
+    monkeypatch.setattr(block_identity, "_bases", seen)
+    rows = [(i, f"text {i % 7}") for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = block_identities(documents(spark, rows)).select("doc_id", "level", "name").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({(r["level"], r["name"]) for r in ids}) == 7
+    assert all(len({r["name"] for r in ids if r["doc_id"] % 7 == k}) == 1 for k in range(7))
+    assert clashes[0]
+
+
 def test_a_very_long_text_and_its_copy(spark):
     long = prose(5, 40_000)
     rows = [(1, long), (2, long), (3, long + "x"), (4, "x" + long)]
