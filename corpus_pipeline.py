@@ -19,10 +19,11 @@ from souk.llm.decontamination import without_benchmark
 from souk.llm.mixing import mixed_documents
 from souk.llm.quality_cnn import accepted
 from souk.llm.simhash_neardup import without_near_copies
-from souk.session import settle
+from souk.session import settle, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
