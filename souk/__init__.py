@@ -1,12 +1,5 @@
 """Marketplace analytics on Spark: raw files -> star schema -> marts -> KPI queries."""
 
-import sys
-
-from pyspark import cloudpickle
-
 from souk.params import Params
 
 __all__ = ["Params"]
-
-# Functions that run in Python workers travel with all they use, so executors need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from souk.sources import files
 
 _local_roots: dict[str, str] = {}
 _ending: set[str] = set()
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -65,6 +68,25 @@ def release(settled: DataFrame) -> None:
     files.remove(settled.sparkSession, settled._souk_path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for functions that run in Python workers.
+
+    The archive is made beside the driver; Spark hands it out. Nothing is sent if the package came in an archive itself.
+    """
+    app, package = spark.sparkContext.applicationId, os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(package):
+        return
+    _shipped.add(app)
+    path = os.path.join(tempfile.mkdtemp(prefix="souk-"), "souk.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    inside = os.path.join("souk", os.path.relpath(os.path.join(folder, name), package))
+                    archive.write(os.path.join(folder, name), inside)
+    spark.sparkContext.addPyFile(path)
+
+
 def size_shuffles(spark: SparkSession, folder: str, partition_bytes: int = 128 * 1024 * 1024) -> int:
     """Raise the number of shuffle partitions to fit the files below ``folder``.
 

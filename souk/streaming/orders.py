@@ -19,7 +19,7 @@ from souk.operators.ordered import keep_first
 from souk.operators.upsert import load_orders, read_target, upsert
 from souk.params import Params
 from souk.plans.warehouse import Warehouse
-from souk.session import settle
+from souk.session import settle, ship
 from souk.sources.raw import CORRUPT, CSV_OPTIONS, raw_schema
 
 #: Where a row came from: when its file was written, which file, and how far into it.
@@ -179,6 +179,7 @@ def ingest_orders_and_payments(
     remembered a payment still fills in the stored row if that has none. What says nothing new changes nothing, replays included.
     Malformed lines and rows without order id go to ``<target>_rejects``. ``raw`` serves the other raw tables.
     """
+    ship(spark)
     params = replace(params or Params(), lookback_days=None)
     arrivals = {"orders": _arrivals(spark, orders_inbox, "orders"), "payments": _arrivals(spark, payments_inbox, "payments")}
     events = _events(arrivals["orders"], "order", "order_id").unionByName(_events(arrivals["payments"], "payment", "payment_id"))
