@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from souk.operators.ordered import exact_median, keep_first, number_rows, running_totals
+from souk.operators.ordered import bracketed_median, exact_median, keep_first, median_bracket, number_rows, running, running_totals
 from tests.helpers import frame, plan, values
 
 
@@ -73,3 +73,27 @@ def test_keep_first_limits_before_the_shuffle(spark):
     text = plan(out)
     assert text.index("WindowGroupLimit") < text.index("Exchange")
     assert "Partial" in text
+
+
+def test_median_by_brackets_is_exact_whatever_the_sketch_said(spark):
+    rows = [*_rows(), ("one", 1, Decimal("5.55")), ("two", 1, Decimal("1.10")), ("two", 2, Decimal("2.25")), ("null", 1, None), (None, 1, Decimal("3.00"))]
+    df = frame(spark, "g string, id int, v decimal(12,2)", *rows)
+    want = values(exact_median(df, ["g"], "v", "m"), "g", "m")
+    brackets = df.groupBy("g").agg(*median_bracket("v"))
+    assert values(bracketed_median(df, brackets, ["g"], "v", "m"), "g", "m") == want
+    # Brackets that miss the middle of some groups, and of all.
+    for low, high in ((3.0, 4.0), (1e9, 1e9)):
+        wrong = brackets.withColumns({"_low": F.lit(low), "_high": F.lit(high)})
+        assert values(bracketed_median(df, wrong, ["g"], "v", "m"), "g", "m") == want
+
+
+def test_running_values_over_slices(spark):
+    rows = [(n, (n * 7) % 13, f"v{n}" if n % 5 == 0 else None) for n in range(60)]
+    df = frame(spark, "n int, x int, label string", *rows).repartition(5)
+    out = running(df, [F.col("n")], {"s": ("sum", F.col("x")), "m": ("max", F.col("x")), "l": ("last", F.col("label"))})
+    got = {r["n"]: (r["s"], r["m"], r["l"]) for r in out.collect()}
+    want, total, top, last = {}, 0, 0, None
+    for n, x, label in rows:
+        total, top, last = total + x, max(top, x), label or last
+        want[n] = (total, top, last)
+    assert got == want
