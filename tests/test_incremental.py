@@ -338,3 +338,32 @@ def test_an_order_and_its_correction_in_two_files_of_one_batch(spark, tmp_path):
     got = [(o, d, int(v)) for o, d, v in values(u.read_target(spark, target), "order_id", "order_date", "total")]
     assert got == [("a", date(2024, 5, 5), 3), ("b", date(2024, 1, 4), 2)]
     assert spark.read.parquet(f"{target}_rejects").count() == 1
+
+
+def test_repeated_orders_customers_and_days_do_not_multiply_rows_of_a_run(spark, tmp_path, monkeypatch):
+    orders = [
+        *[order("a", customer=c, day=date(2024, 11, 29), total=str(n), ship_country=s) for n, (c, s) in enumerate([("c1", "BR"), ("c2", "US"), ("c2", "AR")] * 4)],
+        order("a", customer="c3", day=date(2024, 1, 1)),
+        order("b", customer="c2", day=None),
+        order("c", customer=None, day=date(2024, 3, 1)),
+        order("d", customer="c1", day=date(2024, 11, 29), ship_date=None),
+        order("d", customer="c1", day=date(2024, 11, 29)),
+    ]
+    t = dict(fact_inputs(spark, orders, [("p1", "a", "pix", "captured", Decimal("1"))]))
+    homes = [("c1", None, True), ("c1", "BR", False), ("c1", "BR", None), ("c2", "AR", True), ("c2", "US", False), ("c2", "US", True), (None, "X", True)]
+    t["stg_mkt_customers"] = frame(spark, "customer_id string, country string, is_prime boolean", *homes)
+    day = date(2024, 11, 29)
+    t["stg_dates"] = frame(spark, "date_key date, is_black_friday boolean, is_cyber_monday boolean", (day, None, True), (day, True, None), (day, True, True), (None, True, True))
+    want = u.one_per_key(u.fct_orders(t, P).where("order_id is not null"), "order_id", [F.desc("order_date")])
+    entered = []
+
+    def counted(*args, **kwargs):
+        rows = real(*args, **kwargs)
+        entered.append(rows.count())
+        return rows
+
+    real = u.fct_orders
+    monkeypatch.setattr(u, "fct_orders", counted)
+    got = u.load_orders(t, P, spark, str(tmp_path / "orders"))
+    assert entered == [3]
+    assert values(got.drop("order_month"), *want.columns) == values(want)
