@@ -4,6 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from souk.operators import ordered
 from souk.operators.ordered import bracketed_median, exact_median, keep_first, median_bracket, number_rows, running, running_totals
 from tests.helpers import frame, plan, values
 
@@ -54,6 +55,22 @@ def test_row_numbers_within_groups(spark):
     assert {r["id"]: r["n"] for r in out.collect()} == expected
 
 
+def test_row_numbers_of_small_groups_take_one_shuffle_and_large_ones_slices(spark, monkeypatch):
+    rows = [*_rows(), (None, 9001, Decimal("1.00")), (None, 9002, Decimal("0.50"))]
+    df = frame(spark, "g string, id int, v decimal(12,2)", *rows)
+    expected, seen = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: (r[2], r[1])):
+        seen[g] = seen.get(g, 0) + 1
+        expected[i] = seen[g]
+    out = number_rows(df, ["g"], [F.asc("v"), F.asc("id")], "n")
+    assert plan(out).count("rangepartitioning") == 0 and "_slice" not in plan(out)
+    assert {r["id"]: r["n"] for r in out.collect()} == expected
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 100)
+    cut = number_rows(df, ["g"], [F.asc("v"), F.asc("id")], "n")
+    assert "_slice" in plan(cut)
+    assert {r["id"]: r["n"] for r in cut.collect()} == expected and dict(cut.dtypes)["n"] == dict(out.dtypes)["n"]
+
+
 def test_median_of_even_odd_single_and_tied_groups(spark):
     rows = [*_rows(), ("one", 1, Decimal("5.55")), ("two", 1, Decimal("1.10")), ("two", 2, Decimal("2.25"))]
     rows += [("null", 1, None), (None, 1, Decimal("3.00"))]
