@@ -367,3 +367,11 @@ def test_repeated_orders_customers_and_days_do_not_multiply_rows_of_a_run(spark,
     got = u.load_orders(t, P, spark, str(tmp_path / "orders"))
     assert entered == [3]
     assert values(got.drop("order_month"), *want.columns) == values(want)
+
+
+def test_derived_columns_are_added_after_rows_are_dealt_out_to_their_months(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "m", ("n",))
+    written = frame(spark, "n int, m string", (1, "a"), (2, "b"), (3, None))
+    manifest = table.commit(written, derived={"twice": F.col("n") * 2})
+    assert values(table.read(manifest).select("n", "m", "twice")) == [(1, "a", 2), (2, "b", 4), (3, None, 6)]
+    assert manifest.rows() == 3 and manifest.span("n") is not None

@@ -365,3 +365,18 @@ def test_joins_stay_equi(spark):
     t = fact_inputs(spark, [order("a")])
     text = plan(facts.fct_orders(t, P))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_only_first_lines_meet_the_products_unless_one_tells_too_little(spark):
+    products = frame(
+        spark, "product_id string, category_id string, category string",
+        ("p1", "c1", "Books"), ("p2", "c2", "Toys"), ("p2", "c1", "Toys"), ("half", None, "Half"), ("bare", None, None),
+    )
+    items = "order_id string, line_no int, product_id string"
+    told = frame(spark, items, ("a", 2, "p1"), ("a", 1, "p2"), ("b", 1, None), ("b", 3, "p1"), (None, 1, "p2"), ("a", 1, "p2"))
+    found = facts.primary_category(told, products)
+    assert values(found) == [(None, "c1", "Toys"), ("a", "c1", "Toys"), ("b", "c1", "Books")]
+    assert "Join" not in plan(found)  # settled: one row per order met the products
+    some = [("c", 1, "gone"), ("c", 2, "half"), ("c", 3, "p1"), ("d", 1, "gone"), ("e", 1, "bare"), (None, 1, "half"), (None, 2, "p1")]
+    found = facts.primary_category(frame(spark, items, ("a", 1, "p1"), *some), products)
+    assert values(found) == [(None, "c1", "Half"), ("a", "c1", "Books"), ("c", "c1", "Half"), ("e", None, None)]
