@@ -59,3 +59,12 @@ def test_tasks_grow_with_the_input(spark, tmp_path):
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_orders_are_not_written_once_more_and_only_what_is_kept_of_a_line_is_shuffled(spark, folder, tmp_path):
+    source, plain = FixtureSource(spark, folder, f"{tmp_path}/out"), FixtureSource(spark, folder)
+    assert values(source("orders"), "order_id", "items_count", "status") == [
+        ("ORD-0000000", "2", "Delivered"), ("ORD-0000008", "3", "Returned"), ("ORD-0000017", "1", "Returned"),
+    ]
+    assert "Exchange" not in plan(source("orders"))
+    assert "l_shipdate" not in plan(plain.lines) and "l_linestatus" not in plan(plain.lines)
