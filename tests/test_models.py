@@ -380,3 +380,23 @@ def test_only_first_lines_meet_the_products_unless_one_tells_too_little(spark):
     some = [("c", 1, "gone"), ("c", 2, "half"), ("c", 3, "p1"), ("d", 1, "gone"), ("e", 1, "bare"), (None, 1, "half"), (None, 2, "p1")]
     found = facts.primary_category(frame(spark, items, ("a", 1, "p1"), *some), products)
     assert values(found) == [(None, "c1", "Half"), ("a", "c1", "Books"), ("c", "c1", "Half"), ("e", None, None)]
+
+
+def test_orders_of_a_campaign_are_totalled_where_the_joins_left_them(spark):
+    orders = "order_id string, promotion_id string, total decimal(12,2), is_black_friday_order boolean, is_cyber_monday_order boolean"
+    rows = [("a", "P1", D("10"), True, None), ("a", "P1", None, True, False), (None, "P1", D("4"), None, True), (None, None, None, False, False)]
+    t = {
+        "fct_orders": frame(spark, orders, *rows),
+        "fct_payments": frame(spark, "order_id string, is_chargeback boolean, is_refunded boolean", ("a", True, False), (None, True, True)),
+        "fct_returns": frame(spark, "return_id string, order_id string", ("r1", "a"), (None, "a")),
+        "stg_promotions": frame(
+            spark, "promotion_id string, promotion_name string, promotion_type string, discount_value int, is_aggressive boolean",
+            ("P1", "One", "bogo", 100, True),
+        ),
+    }
+    got = marts.gmv_by_promotion(t, P)
+    # A repeated order counts its payments and returns twice, but is one order of the return rate; unknown orders are none.
+    assert values(got, "promotion_id", "orders_count", "gmv", "avg_order_value", "cyber_monday_orders", "chargeback_rate", "refund_rate", "return_rate") == [
+        ("NO_PROMOTION", 1, None, None, 0, 0.0, 0.0, 0.0), ("P1", 3, D("14.00"), 7.0, 1, 1.0, 0.0, 2.0),
+    ]
+    assert "count(distinct" not in plan(got)
