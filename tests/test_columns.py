@@ -34,6 +34,12 @@ def test_integers(spark, text, expected):
     assert column(spark, c.to_int("x"), text) == expected
 
 
+@pytest.mark.parametrize("text, expected", [(" 7 ", 7), ("+7", 7), ("007", 7), ("2147483647", 2147483647), ("2147483648", None), ("7.", 7), ("-0", 0), (".5", 1)])
+def test_plain_integers_are_not_read_as_decimals(spark, text, expected):
+    slow = F.round(F.col("x").try_cast("decimal(38,10)"), 0).try_cast("int")
+    assert column(spark, c.to_int("x"), text) == column(spark, slow, text) == expected
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [("12.345", Decimal("12.35")), ("1,5", None), ("99999999999", None), ("", None), ("-0.1", Decimal("-0.10"))],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import quality as q
 from souk.params import Params
-from tests.helpers import frame, values
+from tests.helpers import frame, plan, values
 
 P = Params()
 
@@ -96,3 +96,15 @@ def test_freshness(spark, hour, status):
     row = q.freshness(df, "at", as_of).first()
     assert (row["age_hours"], row["status"]) == (hour, status)
     assert q.freshness(df.where("false"), "at", as_of).first()["status"] == "fail"
+
+
+def test_only_keys_are_scanned_whole_and_rows_without_a_finding_are_not_taken_apart(spark, tables, tmp_path):
+    tables["people"].write.parquet(f"{tmp_path}/people")
+    stored = {"people": spark.read.parquet(f"{tmp_path}/people")}
+    kinds = [("not_null", "id", ()), ("not_null", "parent_id", ()), ("accepted_values", "kind", ("a", "b")), ("unique", "id", ())]
+    checks = [q.Check(kind, "people", c, values=v) for kind, c, v in kinds]
+    assert values(q.summarize(stored, checks), "check", "failures") == [
+        ("accepted_values_people_kind", 2), ("not_null_people_id", 2), ("not_null_people_parent_id", 1), ("unique_people_id", 1),
+    ]
+    assert "IsNull(id)" in plan(q.summarize(stored, checks[:1]))
+    assert "Generate" not in plan(q.summarize(stored, checks[3:]))
