@@ -5,7 +5,8 @@ from souk.operators import dimensions, facts, intermediate, marts
 from souk.operators.marts import customer_cohort_retention, growth_metrics_monthly
 from souk.params import Params
 from souk.plans import kpis
-from tests.helpers import frame, plan, values
+from souk.plans.warehouse import Warehouse
+from tests.helpers import frame, plan, raw, values
 
 P = Params(as_of_date=date(2024, 12, 31), loaded_at=datetime(2024, 12, 31))
 D = Decimal
@@ -400,3 +401,23 @@ def test_orders_of_a_campaign_are_totalled_where_the_joins_left_them(spark):
         ("NO_PROMOTION", 1, None, None, 0, 0.0, 0.0, 0.0), ("P1", 3, D("14.00"), 7.0, 1, 1.0, 0.0, 2.0),
     ]
     assert "count(distinct" not in plan(got)
+
+
+def test_lines_per_product_are_summed_once_for_two_dimensions(spark, tmp_path):
+    frames = {
+        "order_items": raw(spark, "order_items", *[dict(order_id="o", line_no=str(n), product_id=p, seller_id=s, quantity="2", line_total="3") for n, p, s in ((1, "p", "a"), (2, "p", "a"), (3, None, None))]),
+        "products": raw(spark, "products", dict(product_id="p", category_id="C", category="Books"), dict(product_id="q", category_id="C")),
+        "categories": raw(spark, "categories", dict(category_id="C"), dict(category_id="D")),
+        "returns": raw(spark, "returns"),
+        "sellers": raw(spark, "sellers", dict(seller_id="a"), dict(seller_id="b"), dict()),
+        "geography": raw(spark, "geography"),
+    }
+    t = Warehouse(spark, frames.__getitem__, root=str(tmp_path))
+    products, categories, sellers = (t.build(n) for n in ("dim_product", "dim_category", "dim_seller"))
+    assert values(products, "product_id", "units_sold", "revenue") == [("p", 4, D("6.00")), ("q", 0, D("0.00"))]
+    assert values(categories, "category_id", "products_count", "gross_sales") == [("C", 2, D("6.00")), ("D", 0, D("0.00"))]
+    assert values(sellers, "seller_id", "orders_count", "gmv") == [(None, 0, D("0.00")), ("A", 1, D("6.00")), ("B", 0, D("0.00"))]
+    step = [f for f in products.inputFiles() if "product_sales" in f]
+    assert step and set(step) < set(categories.inputFiles())
+    # Stored tables and steps are compressed tightly, since they count as data written.
+    assert all(f.endswith(".zstd.parquet") for f in [*step, *t["stg_products"].inputFiles()])
