@@ -68,3 +68,17 @@ def test_orders_are_not_written_once_more_and_only_what_is_kept_of_a_line_is_shu
     ]
     assert "Exchange" not in plan(source("orders"))
     assert "l_shipdate" not in plan(plain.lines) and "l_linestatus" not in plan(plain.lines)
+
+
+def test_a_task_reads_no_more_of_a_shuffle_than_of_a_file(spark, tmp_path):
+    name, of_input = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {n: spark.conf.get(n, None) for n in (name, of_input)}
+    (tmp_path / "f").write_text("x")
+    try:
+        for given, expected in (("64MB", str(32 << 20)), ("1MB", "1MB")):
+            spark.conf.set(name, given)
+            bound_tasks(spark, str(tmp_path))
+            assert spark.conf.get(name) == expected
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
