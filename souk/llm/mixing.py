@@ -8,7 +8,7 @@ reaches: whole epochs first, then the beginning of one more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import word_count
@@ -47,6 +47,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _key(doc_id: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{seed}")))
+
+
+def _order(doc_id: Column, size: Column, seed: int) -> Column:
+    """Where a row stands among those of its source, as one value without NULLs; the key and ``known`` name the id."""
+    return F.struct(_key(doc_id, seed).alias("key"), doc_id.isNotNull().alias("known"), size.alias("size"))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
 
@@ -56,7 +65,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     are ordered by size; of two alike it does not matter which comes first. Only doc_id, source
     and text are read.
     """
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
+    key = _key(F.col("doc_id"), seed)
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"))
     # Only ids, counts and keys go on from here.
     sized = settle(sized.withColumn("key", key), "sizes")
@@ -78,16 +87,29 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """The rows of ``docs`` with all their columns and ``taken``, the words the mix takes of each.
 
     Rows that repeat doc_id, source and size share what is taken of them evenly, in whole words.
+
+    Every row of a source is taken in whole epochs, those up to the cut once more. So a text needs only what is known of
+    its source and where the cut lies: one row per source meets the texts, which are not shuffled for it.
     """
-    takes = mixed(docs, weights, most, seed).groupBy("doc_id", "source", "size")
-    takes = takes.agg(F.expr("sum(taken) div count(*)").alias("taken"))
-    takes = settle(takes.select(*[F.col(c).alias(f"_llm_{c}") for c in ("doc_id", "source", "size", "taken")]), "takes")
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_llm_doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_llm_source"))
-        & (word_count() == F.col("_llm_size"))
+    found = mixed(docs, weights, most, seed)
+    source_size = F.col("source_size")
+    whole = F.when(source_size > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0).cast("bigint")
+    takes = found.groupBy("source", "doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("taken"), F.first(whole).alias("whole"))
+    place = _order(F.col("doc_id"), F.col("size"), seed)
+    takes = takes.select("source", "whole", F.struct(place.alias("place"), "taken").alias("cut"))
+    short = F.col("cut.taken") < (F.col("whole") + 1) * F.col("cut.place.size")
+    cuts = takes.groupBy("source").agg(F.max("whole").alias("whole"), F.min(F.when(short, F.col("cut"))).alias("cut"))
+    cuts = settle(cuts.select(F.struct("source", "whole", "cut").alias("_llm_mix")), "cuts")
+    # Words are counted ahead of the join, so once.
+    placed = docs.drop("taken").withColumn("_llm_place", _order(F.col("doc_id"), word_count(), seed))
+    own = placed.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_llm_mix.source")))
+    place, cut, whole = F.col("_llm_place"), F.col("_llm_mix.cut"), F.col("_llm_mix.whole")
+    taken = (
+        F.when(cut.isNull() | (place < cut["place"]), (whole + 1) * place["size"])
+        .when(place == cut["place"], cut["taken"])
+        .otherwise(whole * place["size"])
     )
-    return docs.drop("taken").join(takes, same).withColumn("taken", F.col("_llm_taken")).drop(*takes.columns)
+    return own.withColumn("taken", taken).drop("_llm_mix", "_llm_place")
 
 
 ORACLE_SQL = r"""

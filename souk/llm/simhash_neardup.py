@@ -226,14 +226,16 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = R
 
     It is the row with the smallest doc_id, NULL after all others. A doc_id that stands in one row
     says all that is needed to find the row again; rows without an id and rows that repeat one are
-    found by id and fingerprint, and of those alike in both one stays.
+    found by id and fingerprint, and of those alike in both one stays. Texts meet the ids of the rows
+    that go, which are few where copies are, and are not shuffled as long as Spark can broadcast those.
     """
     found = settle(near_duplicates(docs, shingle, radius), "near")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("own"))
     vague = (F.col("n") > 1) | F.col("doc_id").isNull()
     ids = settle(ids.select(F.col("doc_id").alias("_llm_id"), "own", vague.alias("vague")), "ids")
     same = F.col("doc_id").eqNullSafe(F.col("_llm_id"))
-    kept = docs.join(ids.where("own and not vague"), same, "left_semi")
+    goes = settle(ids.where("vague or own is null or not own").select("_llm_id"), "goes")
+    kept = docs.join(goes, same, "left_anti")
     unsure = settle(ids.where("vague").select("_llm_id"), "vague")
     if unsure.isEmpty():
         return kept

@@ -70,6 +70,31 @@ def test_whole_rows_are_kept_for_the_pipeline(spark):
     )
 
 
+def test_what_is_taken_of_whole_rows_is_what_the_mix_takes(spark):
+    made = [*rows(), *[(2, prose(40 + i, 9), "hot") for i in range(2)], *[(77, prose(60 + i, 11), None) for i in range(3)]]
+    by = defaultdict(list)
+    for doc, size, _, _, taken in plain_mix(made):
+        by[doc, size].append(taken)
+    table = documents(spark, made)
+    found = defaultdict(list)
+    for r in mixed_documents(table).collect():
+        found[r["doc_id"], len((r["text"] or "").split())].append(r["taken"])
+    # Rows alike in id, source and size share evenly.
+    assert found == {k: [sum(v) // len(v)] * len(v) for k, v in by.items()}
+    assert mixed_documents(table.where("false")).collect() == []
+
+
+def test_texts_are_not_shuffled_for_the_mix(spark):
+    table = spark.createDataFrame([(i, prose(i, 5), f"src{i % 4}") for i in range(20_000)], "doc_id bigint, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = mixed_documents(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_no_words_and_no_rows(spark):
     table = documents(spark, [(1, None, "a"), (2, " ", None)])
     assert rows_of(mixed(table), "doc_id", "target", "taken") == [(1, 0.0, 0), (2, 0.0, 0)]

@@ -134,6 +134,19 @@ def test_one_of_each_group_stays(spark):
     assert rows_of(kept, "doc_id", "text") == sorted(want, key=str)
 
 
+def test_texts_are_not_shuffled_where_few_rows_go(spark):
+    table = spark.createDataFrame([(i, prose(i // 2 if i < 20 else i, 12)) for i in range(20_000)], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    try:
+        kept = s.without_near_copies(table)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc_id"] for r in kept.where("doc_id < 20").collect()} == set(range(0, 20, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_an_empty_table(spark):
     table = documents(spark, AWKWARD).where("false")
     assert s.near_duplicates(table).collect() == []
