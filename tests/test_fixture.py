@@ -3,9 +3,11 @@
 import os
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from souk.session import bound_tasks
 from souk.sources.fixture import PROJECTED, FixtureSource
 from tests.helpers import frame, plan, values
@@ -82,3 +84,26 @@ def test_a_task_reads_no_more_of_a_shuffle_than_of_a_file(spark, tmp_path):
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_the_returns_mart_numbers_lines_by_all_their_columns(spark, folder, tmp_path):
+    sql = contract.oracle_sql()["mrt-01"]
+    at, later = datetime(1995, 3, 4), datetime(1996, 3, 4)
+    lines = [(0, 1, 6, 1, 2.0, 8.0, d, x, 0.0, "N", s) for d, x, s in ((later, 0.1, "F"), (at, 0.0, "O"), (later, 0.0, "O"))]
+    lines += [(0, 1, 5, 1, 2.0, 8.0, later, 0.2, 0.0, "R", "F"), (8, 1, 5, 1, 2.0, 8.0, at, 0.0, 0.0, "N", "O"), (17, 2, 6, 1, 2.0, 8.0, at, 0.0, 0.0, "A", "F")]
+    read = spark.read.parquet(f"{folder}/lineitem.parquet")
+    for order in ("partition by l_orderkey order by ", "from lineitem order by l_orderkey, "):
+        assert sql.split(order)[1].replace(")", "\n").split("\n")[0].split(", ") == [c for c in read.columns if c != "l_orderkey"]
+    os.mkdir(f"{tmp_path}/tied")
+    for name in os.listdir(folder):
+        if name not in ("lineitem.parquet", "part.parquet"):
+            os.symlink(f"{folder}/{name}", f"{tmp_path}/tied/{name}")
+    parts = frame(spark, "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double", (5, "p", "PROMO", 1, 2.0), (6, "q", "SMALL", 1, 2.0))
+    parts.write.parquet(f"{tmp_path}/tied/part.parquet")
+    frame(spark, read.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), *lines).write.parquet(f"{tmp_path}/tied/lineitem.parquet")
+    con = duckdb.connect()
+    for name in os.listdir(f"{tmp_path}/tied"):
+        con.execute(f"create view {name.removesuffix('.parquet')} as select * from '{tmp_path}/tied/{name}/*.parquet'")
+    want = con.sql(sql)
+    found = contract.queries()["mrt-01"](spark, f"{tmp_path}/tied")
+    assert len(want.fetchall()) == 2 and values(found, *want.columns) == sorted(con.sql(sql).fetchall(), key=lambda r: tuple((v is not None, str(v)) for v in r))
